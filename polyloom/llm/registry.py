@@ -22,6 +22,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint (hex), component_id of every document, links at two or fewer differing bits."""
+    from polyloom.llm import simhash
+
+    return simhash.groups(table(spark, sf_dir, "documents")).select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every document; a third of the ids is held out of training."""
     from polyloom.llm import langid
@@ -39,6 +46,13 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every embedding; cosine 0.98 within a label."""
+    from polyloom.llm import embedding_dedup
+
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 OP5_SQL = r"""
 WITH base AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
@@ -66,8 +80,10 @@ SELECT doc_id, size, source_size, target,
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_simhash": op2_simhash,
         "op4_language_id": op4_language_id,
         "op5_mixing": op5_mixing,
+        "op10_embedding_near_dedup": op10_embedding_near_dedup,
     }
 
 
