@@ -46,6 +46,13 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
+    from polyloom.llm import fingerprints
+
+    return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, n_links, component_id, kept of every embedding; cosine 0.98 within a label."""
     from polyloom.llm import embedding_dedup
@@ -83,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash": op2_simhash,
         "op4_language_id": op4_language_id,
         "op5_mixing": op5_mixing,
+        "op9_fingerprints": op9_fingerprints,
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
     }
 
