@@ -46,6 +46,13 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text (lines kept), n_lines, n_removed of every document."""
+    from polyloom.llm import line_dedup
+
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
     from polyloom.llm import fingerprints
@@ -84,16 +91,33 @@ SELECT doc_id, size, source_size, target,
 """
 
 
+OP6_SQL = r"""
+WITH l AS (
+  SELECT doc_id, n - 1 AS line_no, raw, regexp_replace(raw, '^[ \t\r\v\f]+|[ \t\r\v\f]+$', '', 'g') AS line
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)),
+f AS (SELECT line, min((doc_id, line_no)) AS first, length(line) AS n FROM l WHERE length(line) >= 16 GROUP BY line),
+h AS (SELECT line, first, n, m, (m // 2)::BIGINT AS h FROM (SELECT *, unnest([n, n - 1]) AS m FROM f)),
+p AS (SELECT a.line, a.first, b.line AS other, b.first AS other_first FROM h a JOIN h b ON a.m = b.m AND left(a.line, a.h) = left(b.line, b.h) AND a.line < b.line
+  UNION SELECT a.line, a.first, b.line, b.first FROM h a JOIN h b ON a.m = b.m AND right(a.line, a.m - a.h) = right(b.line, b.m - b.h) AND a.line < b.line),
+near AS (SELECT DISTINCT CASE WHEN first > other_first THEN line ELSE other END AS line FROM p WHERE abs(length(line) - length(other)) <= 1 AND levenshtein(line, other) <= 1),
+j AS (SELECT l.*, coalesce(length(l.line) >= 16 AND ((l.doc_id, l.line_no) > f.first OR near.line IS NOT NULL), FALSE) AS gone
+  FROM l LEFT JOIN f ON l.line = f.line LEFT JOIN near ON l.line = near.line)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(g.text, '') END AS text, coalesce(g.n_lines, 0)::BIGINT AS n_lines, coalesce(g.n_removed, 0)::BIGINT AS n_removed
+FROM documents d LEFT JOIN (SELECT doc_id, string_agg(raw, chr(10) ORDER BY line_no) FILTER (NOT gone) AS text, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed FROM j GROUP BY doc_id) g ON d.doc_id = g.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_simhash": op2_simhash,
         "op4_language_id": op4_language_id,
         "op5_mixing": op5_mixing,
+        "op6_line_dedup": op6_line_dedup,
         "op9_fingerprints": op9_fingerprints,
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": OP5_SQL}
+    return {"op5_mixing": OP5_SQL, "op6_line_dedup": OP6_SQL}
