@@ -29,6 +29,17 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents")).select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+#: A public vocabulary; the path is a parameter of the operator.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str, path: str = PIECES) -> DataFrame:
+    """doc_id, ids, n_ids, exact (decoding gives the text again) of every document."""
+    from polyloom.llm import pieces
+
+    return pieces.encode(table(spark, sf_dir, "documents"), path).select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), "exact")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every document; a third of the ids is held out of training."""
     from polyloom.llm import langid
@@ -111,6 +122,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_simhash": op2_simhash,
+        "op3_sentencepiece": op3_sentencepiece,
         "op4_language_id": op4_language_id,
         "op5_mixing": op5_mixing,
         "op6_line_dedup": op6_line_dedup,
