@@ -64,6 +64,13 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: strings of 400 bytes that also start elsewhere go."""
+    from polyloom.llm import substring_exact
+
+    return substring_exact.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
     from polyloom.llm import fingerprints
@@ -126,6 +133,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": op4_language_id,
         "op5_mixing": op5_mixing,
         "op6_line_dedup": op6_line_dedup,
+        "op7_suffix_array_dedup": op7_suffix_array_dedup,
         "op9_fingerprints": op9_fingerprints,
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
     }
