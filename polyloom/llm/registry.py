@@ -71,6 +71,13 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_exact.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_passages, n_passage_words, passages, component_id: near-duplicate passages of 50 words or more."""
+    from polyloom.llm import passages
+
+    return passages.near_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
     from polyloom.llm import fingerprints
@@ -134,6 +141,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mixing": op5_mixing,
         "op6_line_dedup": op6_line_dedup,
         "op7_suffix_array_dedup": op7_suffix_array_dedup,
+        "op8_substring_dedup": op8_substring_dedup,
         "op9_fingerprints": op9_fingerprints,
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
     }
