@@ -26,6 +26,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from polyloom.llm.common import cut
+
 WINDOW, OVERLAP, GRAM = 64, 16, 5
 MARK = bytes([1, 2, 3, 4, 5, 6, 7, 8, 14, 15, 16, 17])
 
@@ -172,16 +174,19 @@ def fit(toxic: list[bytes], ordinary: list[bytes], capacity: int = 8192, common:
     return ToxicityModel(dict_t, dict_o, tuple(map(float, w)))
 
 
-def train(docs: DataFrame, sample_bytes: int = 16_000_000) -> ToxicityModel:
-    """Learn from columns ``text`` and ``toxic`` (0/1; rows where either is null are left out).
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000, max_chars: int = 1_000_000) -> ToxicityModel:
+    """Learn from ``text`` of ``docs`` and ``toxic`` (0/1) of ``labels`` with the same doc_id.
 
-    ``sample_bytes`` bounds the characters expected of each class: whole documents are taken by a hash of their text.
+    ``sample_docs`` bounds the labelled documents taken of either class, by a hash of their id, the same each time; those of over
+    ``max_chars`` characters are left out of training.  Only the sampled ids (two times that bound at most) are broadcast,
+    so no text is shuffled.
     """
-    d = docs.select("text", "toxic").filter("text is not null and toxic in (0, 1)")
-    chars = {r.toxic: r.chars for r in d.groupBy("toxic").agg(F.sum(F.length("text")).alias("chars")).collect()}
-    keep = F.shiftrightunsigned(F.xxhash64("text", F.lit(5)), 11).cast("double") / float(1 << 53)
-    bound = [min(1.0, sample_bytes / max(1, chars.get(k, 0))) for k in (0, 1)]
-    rows = d.filter(keep < F.when(F.col("toxic") == 1, bound[1]).otherwise(bound[0])).toArrow()
+    each = [
+        labels.filter(F.col("toxic") == k).select("doc_id", "toxic").distinct().orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample_docs) for k in (1, 0)
+    ]
+    picked = cut(each[0].union(each[1]))
+    texts = docs.select("doc_id", "text").filter("text is not null").filter(F.char_length("text") <= max_chars)
+    rows = texts.join(F.broadcast(picked), "doc_id").select("text", "toxic").toArrow()
     # in an order of the texts' own, whatever the partitions
     pairs = sorted(set(zip(rows["toxic"].to_pylist(), map(normal, rows["text"].to_pylist()))))
     return fit([t for k, t in pairs if k == 1], [t for k, t in pairs if k == 0])
@@ -198,6 +203,6 @@ def score(docs: DataFrame, model: ToxicityModel, id_cols: tuple[str, ...] = ("do
             s = logistic(x, model.weights)
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(s)], names=[*id_cols, "score"])
 
-    lean = docs.select(*id_cols, "text")
+    lean = docs.select(*id_cols, F.col("text").alias("text_to_score"))
     kinds = ", ".join(f"`{c}` {lean.schema[c].dataType.simpleString()}" for c in id_cols)
     return lean.mapInArrow(run, f"{kinds}, score double")
