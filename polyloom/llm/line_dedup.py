@@ -33,7 +33,7 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def _ids(line: Column) -> list[Column]:
-    return [F.xxhash64(line).alias("h1"), F.xxhash64(line, F.lit(1)).alias("h2")]
+    return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
 
 
 def _halves(line: Column) -> Column:
@@ -114,10 +114,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = 16, max_edits: int = 1) -> Dat
     go from each.  Rows with one id and different texts come in the order of a hash of their text.  Other columns pass through.
     """
     drop = removals(docs, min_chars, max_edits).select(F.col("doc_id").alias("d_"), F.col("th").alias("t_"), "drop")
-    d = docs.withColumn("th_", F.xxhash64("text", F.lit(3)))
+    # other columns travel in a struct, so that none of their names clash
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_lines", "n_removed")]
+    rest = F.struct(*[docs[c] for c in others]) if others else F.struct(F.lit(0))
+    d = docs.select("doc_id", "text", F.xxhash64("text", F.lit(3)).alias("th_"), rest.alias("rest_"))
     j = d.join(drop, d.doc_id.eqNullSafe(drop.d_) & (d.th_ == drop.t_), "left").withColumn("l_", F.split("text", "\n"))
     n = F.size("l_")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), F.col("drop")), lambda i: F.get(F.col("l_"), i))
     text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    j = j.withColumn("text", text).withColumn("n_lines", F.when(F.col("l_").isNull(), 0).otherwise(n).cast("long"))
-    return j.withColumn("n_removed", F.coalesce(F.size("drop"), F.lit(0)).cast("long")).drop("d_", "t_", "th_", "l_", "drop")
+    lines = F.when(F.col("l_").isNull(), 0).otherwise(n).cast("long")
+    removed = F.coalesce(F.size("drop"), F.lit(0)).cast("long")
+    out = {"doc_id": F.col("doc_id"), "text": text.alias("text")} | {c: F.col("rest_").getField(c).alias(c) for c in others}
+    names = [c for c in docs.columns if c in out]
+    return j.select(*[out[c] for c in names], lines.alias("n_lines"), removed.alias("n_removed"))

@@ -63,8 +63,8 @@ def unit(doc_id: Column) -> Column:
     return (F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
 
 
-def mix(docs: DataFrame, cap: int = 3, weights: tuple[int, ...] = (1, 2, 3), tilt: str | None = None, bin_docs: int = 4096, name: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for every row of ``docs``.
+def mix(docs: DataFrame, cap: int = 3, weights: tuple[int, ...] = (1, 2, 3), tilt: str | None = None, bin_docs: int = 4096, id_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``id_cols``, source, size, source_size, target, copies, taken for every row of ``docs``.
 
     Defined results: null texts have size 0 and nothing is taken of them; a null source is a
     source of its own, last in order; rows that repeat are documents of their own (those with the
@@ -72,8 +72,8 @@ def mix(docs: DataFrame, cap: int = 3, weights: tuple[int, ...] = (1, 2, 3), til
     an empty table gives no rows; other columns are ignored.  ``tilt``: a positive column that
     makes some documents likelier; null counts as 1.
     """
-    lean = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), (F.coalesce(F.col(tilt).cast("double"), F.lit(1.0)) if tilt else F.lit(1.0)).alias("tilt"))
-    base = stored(lean, name)
+    lean = docs.select(*id_cols, "source", word_count(F.col("text")).alias("size"), (F.coalesce(F.col(tilt).cast("double"), F.lit(1.0)) if tilt else F.lit(1.0)).alias("tilt"))
+    base = stored(lean, "mix")
     per = base.groupBy("source").agg(
         F.sum("size").alias("source_size"),
         F.sum(F.when(F.col("size") > 0, 1).otherwise(0)).alias("n_docs"),
@@ -102,7 +102,7 @@ def mix(docs: DataFrame, cap: int = 3, weights: tuple[int, ...] = (1, 2, 3), til
     edge = (F.col("before") < quota) & (F.col("before") + F.col("words") > quota)
     inside = F.col("before") + F.col("words") <= quota
     d = d.withColumn("quota", quota).withColumn("edge", F.coalesce(edge, F.lit(False))).withColumn("inside", F.coalesce(inside, F.lit(False)))
-    last = Window.partitionBy("source", "bin").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    last = Window.partitionBy("source", "bin").orderBy("q", "doc_id", "size", *id_cols[1:]).rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.col("before") + F.coalesce(F.sum("size").over(last), F.lit(0))
     on_edge = d.filter("edge").withColumn("ahead", ahead)
     # taken while that brings the sum nearer to the quota: the document across the edge counts if over half of it fits
@@ -110,5 +110,16 @@ def mix(docs: DataFrame, cap: int = 3, weights: tuple[int, ...] = (1, 2, 3), til
     rest = d.filter(~F.col("edge")).withColumn("extra", F.col("inside").cast("long"))
     out = rest.unionByName(on_edge)
     return out.select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("copies"), ((F.col("whole") + F.col("extra")) * F.col("size")).alias("taken")
+        *id_cols, "source", "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("copies"), ((F.col("whole") + F.col("extra")) * F.col("size")).alias("taken")
     )
+
+
+def take(docs: DataFrame, cap: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it."""
+    th = F.xxhash64("text", F.lit(3))
+    m = mix(docs.select("doc_id", "source", "text", th.alias("th_")), cap, weights, id_cols=("doc_id", "th_"))
+    # rows that repeat in id and text: the copies of all are added up and given to each in turn
+    m = m.filter("copies > 0").groupBy(F.col("doc_id").alias("k_"), F.col("th_").alias("t_")).agg(F.sum("copies").alias("copies"), F.count("*").alias("n_"))
+    d = docs.withColumn("th_", th)
+    j = d.join(m, d.doc_id.eqNullSafe(m.k_) & (d.th_ == m.t_)).withColumn("each_", F.explode(F.sequence(F.lit(1), F.ceil(F.col("copies") / F.col("n_")).cast("int"))))
+    return j.select(*docs.columns)

@@ -104,19 +104,29 @@ def links(fps: DataFrame, bits: int = 2) -> DataFrame:
     return two.union(pairs).union(star).distinct()
 
 
-def groups(docs: DataFrame, k: int = 3, bits: int = 2) -> DataFrame:
-    """doc_id, fp, component_id (least doc_id reachable over links of at most ``bits`` differing bits), a row for each row of ``docs``.
+def groups(docs: DataFrame, k: int = 3, bits: int = 2, id_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``id_cols``, fp, component_id (least doc_id reachable over links of at most ``bits`` differing bits), a row for each row of ``docs``.
 
     Null or empty texts have fingerprint 0 and link like any other.  Rows may repeat: nodes are fingerprints,
     so rows with one id and different texts are judged each by its own.  Other columns are ignored.
     """
-    base = stored(fingerprints(docs, k), "simhash")
+    base = stored(fingerprints(docs, k, id_cols), "simhash")
     fps = base.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = connected_components(links(base.select("fp").distinct(), bits))
     named = found.join(fps, found.node == fps.fp)
     low = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of = cut(named.join(low, "component").select("fp", "component_id"))
-    return base.join(fps, "fp").join(of, "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "least").alias("component_id"))
+    return base.join(fps, "fp").join(of, "fp", "left").select(*id_cols, "fp", F.coalesce("component_id", "least").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = 3, bits: int = 2) -> DataFrame:
+    """The rows of ``docs`` that stand for their group: the least id, of those the least hash of the text."""
+    th = F.xxhash64("text", F.lit(3))
+    g = groups(docs.select("doc_id", "text", th.alias("th_")), k, bits, ("doc_id", "th_"))
+    keep = g.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th_")).alias("r")).select(F.col("r.doc_id").alias("k_"), F.col("r.th_").alias("t_"))
+    d = docs.withColumn("th_", th)
+    # rows that repeat in id and text are one document
+    return d.join(keep, d.doc_id.eqNullSafe(keep.k_) & (d.th_ == keep.t_)).dropDuplicates(["doc_id", "th_"]).select(*docs.columns)
 
 
 def hex16(fp: Column) -> Column:
