@@ -7,8 +7,8 @@ dictionary makes it shorter, the window speaks for toxicity.
 Labels hold for whole documents and most of a toxic document is ordinary, so
 plain training would give two nearly equal dictionaries whose difference is noise.
 Training is therefore contrastive: byte n-grams whose document frequencies differ between the
-classes beyond chance (likelihood ratio) mark segments, and each dictionary holds its class's
-segments, then text that both have in common and a marker that ends every window
+classes beyond chance (likelihood ratio) and by far mark segments.  The toxic dictionary holds these
+segments, then the one trained on ordinary text; both end in a marker that ends every window
 (so that either compressor writes at least one sequence and a further match costs two or three bytes).
 A window without such segments compresses to the same length with either dictionary.
 """
@@ -69,9 +69,9 @@ class Distance:
 
 
 def features(gains: np.ndarray) -> np.ndarray:
-    """One, the gains' density, how many windows gain, and the size of the text."""
+    """One, the gains' density, how many windows gain, and how many gain much; nothing gained gives zeros, whatever the length."""
     up = np.clip(gains, 0.0, 3.0).sum()
-    return np.array([1.0, 10.0 * up / (len(gains) + 20.0), np.log1p((gains >= 2).sum()), np.log1p(len(gains))])
+    return np.array([1.0, 10.0 * up / (len(gains) + 20.0), np.log1p((gains >= 2).sum()), np.log1p((gains >= 3).sum())])
 
 
 def logistic(x: np.ndarray, weights: tuple[float, ...]) -> np.ndarray:
@@ -90,11 +90,23 @@ def _grams(text: bytes) -> np.ndarray:
 
 
 def _document_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    each = [np.unique(_grams(t)) for t in texts]
-    return np.unique(np.concatenate([np.empty(0, np.uint64), *each]), return_counts=True)
+    """n-grams and the number of documents that have them after different bytes.
+
+    Near copies of one document repeat its n-grams in one context, so a crowd of them counts once.
+    """
+    each = []
+    for t in texts:
+        g, at = np.unique(_grams(t), return_index=True)
+        before = np.frombuffer(b"\x00" * 8 + t, np.uint8)
+        ctx = np.zeros(len(g), np.uint64)
+        for k in range(8):
+            ctx = ctx * np.uint64(0x9E3779B97F4A7C15) + before[at + k]
+        each.append((g << np.uint64(16)) | (ctx >> np.uint64(48)))
+    pairs = np.unique(np.concatenate([np.empty(0, np.uint64), *each]))
+    return np.unique(pairs >> np.uint64(16), return_counts=True)
 
 
-def _telling(own: tuple, other: tuple, n_own: int, n_other: int, least_g2: float) -> np.ndarray:
+def _telling(own: tuple, other: tuple, n_own: int, n_other: int, least_g2: float, least_lift: float) -> np.ndarray:
     """n-grams that more documents of the own class have than chance allows (log-likelihood ratio)."""
     keys, counts = own
     if not len(keys):
@@ -110,7 +122,8 @@ def _telling(own: tuple, other: tuple, n_own: int, n_other: int, least_g2: float
         return np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(e, 1e-9)), 0.0)
 
     g2 = 2 * (term(counts, n_own * p) + term(there, n_other * p) + term(n_own - counts, n_own * (1 - p)) + term(n_other - there, n_other * (1 - p)))
-    return keys[(g2 > least_g2) & (counts / n_own > there / n_other)]
+    # beyond chance, and by far: a syllable that is merely commoner would mark ordinary words
+    return keys[(g2 > least_g2) & (counts / n_own > least_lift * (there + 0.5) / n_other)]
 
 
 def _segments(texts: list[bytes], telling: np.ndarray, capacity: int) -> bytes:
@@ -143,18 +156,19 @@ def _segments(texts: list[bytes], telling: np.ndarray, capacity: int) -> bytes:
     return b"\x00".join(reversed(out))
 
 
-def fit(toxic: list[bytes], ordinary: list[bytes], capacity: int = 8192, common: int = 512, least_g2: float = 30.0) -> ToxicityModel:
+def fit(toxic: list[bytes], ordinary: list[bytes], capacity: int = 8192, common: int = 512, least_g2: float = 30.0, least_lift: float = 4.0) -> ToxicityModel:
     """Train both dictionaries and calibrate their gains with a logistic regression of four weights."""
     if not toxic or not ordinary:
         return ToxicityModel(MARK, MARK, (-4.0, 0.0, 0.0, 0.0))
     ct, co = _document_counts(toxic), _document_counts(ordinary)
-    seg_t = _segments(toxic, _telling(ct, co, len(toxic), len(ordinary), least_g2), capacity)
-    seg_o = _segments(ordinary, _telling(co, ct, len(ordinary), len(toxic), least_g2), capacity)
+    seg_t = _segments(toxic, _telling(ct, co, len(toxic), len(ordinary), least_g2, least_lift), capacity)
     pool = [w for t in ordinary[:400] for w in windows(t)[:8]]
     base = zstandard.train_dictionary(8192, pool).as_bytes()[-common:] if len(pool) > 200 else b""
-    width = max(len(seg_t), len(seg_o), 64)
-    # segments come first, padded to one width: what both share lies at equal distances from a window
-    dict_t, dict_o = (b"\x00" * (width - len(s)) + s + base + MARK for s in (seg_t, seg_o))
+    # The ordinary dictionary is what training on ordinary text yields.  The toxic one has it too, behind its own segments; the
+    # other is padded to the same width, so that shared text lies at equal distances.  Segments of the ordinary
+    # class would only push shared text out of the compressor's hash table and make gains of ordinary windows.
+    width = max(len(seg_t), 64)
+    dict_t, dict_o = (b"\x00" * (width - len(s)) + s + base + MARK for s in (seg_t, b""))
     d = Distance(dict_t, dict_o)
     x = np.array([features(d.gains(t)) for t in [*toxic, *ordinary]])
     y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
