@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyloom.functions import scalar as S
@@ -51,18 +51,24 @@ def detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _cols("f23_decimal", "part", "p_partkey", lambda: {"a": S.decimal(c("p_size"), 2).cast("double"), "b": S.decimal(c("p_name"), 2).cast("double")}, "p_size::DOUBLE AS a, NULL::DOUBLE AS b")
-_T = F.col("o_orderdate").cast("timestamp")
-_cols("f25_datetime", "orders", "o_orderkey", lambda: {"a": F.unix_seconds(S.to_datetime(F.lit("2024-02-03T04:05:06Z"))), "b": F.unix_seconds(_T), "d": F.unix_millis(_T), "e": F.unix_micros(S.to_datetime(c("o_orderkey"), "bigint"))}, "1706933106::BIGINT AS a, (epoch_us(o_orderdate) // 1000000)::BIGINT AS b, (epoch_us(o_orderdate) // 1000)::BIGINT AS d, o_orderkey AS e")
-_cols("f27_extract", "orders", "o_orderkey", lambda: {p: S.extract(p, _T).cast("long") for p in ("year", "month", "day", "hour", "minute", "second", "microsecond", "epoch", "dow")}, ", ".join(f"extract({p} FROM o_orderdate)::BIGINT AS {p}" for p in ("year", "month", "day", "hour", "minute", "second")) + ", (epoch_us(o_orderdate) % 1000000)::BIGINT AS microsecond, (epoch_us(o_orderdate) // 1000000)::BIGINT AS epoch, dayofweek(o_orderdate)::BIGINT AS dow")
-_cols("f28_date_trunc", "orders", "o_orderkey", lambda: {p: F.unix_seconds(F.date_trunc(p, _T)) for p in ("year", "month", "day", "hour")}, ", ".join(f"(epoch_us(date_trunc('{p}', o_orderdate)::TIMESTAMP) // 1000000)::BIGINT AS {p}" for p in ("year", "month", "day", "hour")))
-_cols("f29_date_add", "orders", "o_orderkey", lambda: {"a": F.unix_seconds(S.add_duration(_T, "36h")), "b": F.unix_seconds(S.add_duration(_T, "15m", -1)), "d": S.date_diff(S.add_duration(_T, "90s"), _T)}, "(epoch_us(o_orderdate) // 1000000 + 129600)::BIGINT AS a, (epoch_us(o_orderdate) // 1000000 - 900)::BIGINT AS b, 90.0::DOUBLE AS d")
-_cols("f32_date_format", "orders", "o_orderkey", lambda: {"a": F.date_format(_T, "yyyy-MM-dd HH:mm")}, "strftime(o_orderdate, '%Y-%m-%d %H:%M') AS a")
+def _t() -> Column:
+    return F.col("o_orderdate").cast("timestamp")
+
+
+_cols("f25_datetime", "orders", "o_orderkey", lambda: {"a": F.unix_seconds(S.to_datetime(F.lit("2024-02-03T04:05:06Z"))), "b": F.unix_seconds(_t()), "d": F.unix_millis(_t()), "e": F.unix_micros(S.to_datetime(c("o_orderkey"), "bigint"))}, "1706933106::BIGINT AS a, (epoch_us(o_orderdate) // 1000000)::BIGINT AS b, (epoch_us(o_orderdate) // 1000)::BIGINT AS d, o_orderkey AS e")
+_cols("f27_extract", "orders", "o_orderkey", lambda: {p: S.extract(p, _t()).cast("long") for p in ("year", "month", "day", "hour", "minute", "second", "microsecond", "epoch", "dow")}, ", ".join(f"extract({p} FROM o_orderdate)::BIGINT AS {p}" for p in ("year", "month", "day", "hour", "minute", "second")) + ", (epoch_us(o_orderdate) % 1000000)::BIGINT AS microsecond, (epoch_us(o_orderdate) // 1000000)::BIGINT AS epoch, dayofweek(o_orderdate)::BIGINT AS dow")
+_cols("f28_date_trunc", "orders", "o_orderkey", lambda: {p: F.unix_seconds(F.date_trunc(p, _t())) for p in ("year", "month", "day", "hour")}, ", ".join(f"(epoch_us(date_trunc('{p}', o_orderdate)::TIMESTAMP) // 1000000)::BIGINT AS {p}" for p in ("year", "month", "day", "hour")))
+_cols("f29_date_add", "orders", "o_orderkey", lambda: {"a": F.unix_seconds(S.add_duration(_t(), "36h")), "b": F.unix_seconds(S.add_duration(_t(), "15m", -1)), "d": S.date_diff(S.add_duration(_t(), "90s"), _t())}, "(epoch_us(o_orderdate) // 1000000 + 129600)::BIGINT AS a, (epoch_us(o_orderdate) // 1000000 - 900)::BIGINT AS b, 90.0::DOUBLE AS d")
+_cols("f32_date_format", "orders", "o_orderkey", lambda: {"a": F.date_format(_t(), "yyyy-MM-dd HH:mm")}, "strftime(o_orderdate, '%Y-%m-%d %H:%M') AS a")
 _cols("f31_duration", "region", "r_regionkey", lambda: {"a": F.lit(ts.interval_ms("1h 30m")).cast("long")}, "5400000::BIGINT AS a")
 same("f24_now", "SELECT count(*) AS n FROM region WHERE current_timestamp > TIMESTAMP '2020-01-01 00:00:00'", "SELECT count(*) AS n FROM region")
-_P = F.col("props")
-_cols("f34_json_get", "events", "event_id", lambda: {"a": S.json_get(_P, "k").try_cast("long"), "b": S.json_get(_P, "$.missing"), "d": S.json_get(F.lit('{"a":{"b":[5,6]}}'), "a.b.1").try_cast("long")}, "(props->>'k')::BIGINT AS a, NULL::VARCHAR AS b, 6::BIGINT AS d")
-_cols("f35_json_set_remove", "events", "event_id", lambda: {"a": S.json_get(S.json_set(_P, "z", F.lit(5)), "z").try_cast("long"), "b": S.json_get(S.json_remove(_P, "k"), "k"), "d": S.json_remove(_P, "k")}, "5::BIGINT AS a, NULL::VARCHAR AS b, '{}' AS d")
-_cols("f37_json_keys", "events", "event_id", lambda: {"a": F.array_join(S.json_keys(_P), ","), "b": F.array_join(S.json_values(_P), ",").try_cast("long"), "d": S.json_length(_P).cast("long"), "e": S.json_type(_P)}, "'k' AS a, (props->>'k')::BIGINT AS b, 1::BIGINT AS d, 'object' AS e")
+def _p() -> Column:
+    return F.col("props")
+
+
+_cols("f34_json_get", "events", "event_id", lambda: {"a": S.json_get(_p(), "k").try_cast("long"), "b": S.json_get(_p(), "$.missing"), "d": S.json_get(F.lit('{"a":{"b":[5,6]}}'), "a.b.1").try_cast("long")}, "(props->>'k')::BIGINT AS a, NULL::VARCHAR AS b, 6::BIGINT AS d")
+_cols("f35_json_set_remove", "events", "event_id", lambda: {"a": S.json_get(S.json_set(_p(), "z", F.lit(5)), "z").try_cast("long"), "b": S.json_get(S.json_remove(_p(), "k"), "k"), "d": S.json_remove(_p(), "k")}, "5::BIGINT AS a, NULL::VARCHAR AS b, '{}' AS d")
+_cols("f37_json_keys", "events", "event_id", lambda: {"a": F.array_join(S.json_keys(_p()), ","), "b": F.array_join(S.json_values(_p()), ",").try_cast("long"), "d": S.json_length(_p()).cast("long"), "e": S.json_type(_p())}, "'k' AS a, (props->>'k')::BIGINT AS b, 1::BIGINT AS d, 'object' AS e")
 _cols("f40_json_make", "nation", "n_nationkey", lambda: {"a": S.json_array(c("n_nationkey"), c("n_regionkey")), "b": S.json_object(k=c("n_nationkey"), v=c("n_name"))}, "'[' || n_nationkey || ',' || n_regionkey || ']' AS a, '{\"k\":' || n_nationkey || ',\"v\":\"' || n_name || '\"}' AS b")
-_cols("f41_json_contains", "events", "event_id", lambda: {"a": S.json_contains(_P, F.lit("k")), "b": S.json_contains(F.lit("[1,2,3]"), c("event_id")), "d": S.json_get(S.json_merge(_P, F.lit('{"k":1,"m":2}')), "k").try_cast("long")}, "TRUE AS a, event_id IN (1, 2, 3) AS b, 1::BIGINT AS d")
-_cols("f43_doc_get", "events", "event_id", lambda: {"a": S.json_get(_P, "$.k"), "b": S.json_exists(_P, "$.k"), "d": S.json_exists(_P, "$.q"), "e": S.array_contains_value(F.lit('{"t":["x","7"]}'), "$.t", c("user_id"))}, "props->>'k' AS a, TRUE AS b, FALSE AS d, user_id = 7 AS e")
+_cols("f41_json_contains", "events", "event_id", lambda: {"a": S.json_contains(_p(), F.lit("k")), "b": S.json_contains(F.lit("[1,2,3]"), c("event_id")), "d": S.json_get(S.json_merge(_p(), F.lit('{"k":1,"m":2}')), "k").try_cast("long")}, "TRUE AS a, event_id IN (1, 2, 3) AS b, 1::BIGINT AS d")
+_cols("f43_doc_get", "events", "event_id", lambda: {"a": S.json_get(_p(), "$.k"), "b": S.json_exists(_p(), "$.k"), "d": S.json_exists(_p(), "$.q"), "e": S.array_contains_value(F.lit('{"t":["x","7"]}'), "$.t", c("user_id"))}, "props->>'k' AS a, TRUE AS b, FALSE AS d, user_id = 7 AS e")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from polyloom.functions import timeseries as ts
@@ -11,7 +11,9 @@ from polyloom.queries import query, same
 from polyloom.session import load
 
 HOUR = 3_600_000
-_V = F.col("value")
+def _v() -> Column:
+    return F.col("value")
+
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +21,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", ts.epoch_ms(F.col("ts")).alias("ms"), "user_id", "event_type", "value", "props")
 
 
-_W = Window.partitionBy("user_id").orderBy("ms", "event_id")
+def _w() -> WindowSpec:
+    return Window.partitionBy("user_id").orderBy("ms", "event_id")
+
 _OW = "(PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id)"
 
 DASHBOARD = f"""SELECT (epoch_us(ts) // 1000) // {HOUR} * {HOUR} AS bucket, event_type, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS top, round(quantile_cont(value, 0.99), 6) AS p99
@@ -29,7 +33,7 @@ DASHBOARD = f"""SELECT (epoch_us(ts) // 1000) // {HOUR} * {HOUR} AS bucket, even
 @query("g1_dashboard", DASHBOARD)
 def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = events(spark, sf_dir).groupBy(ts.time_bucket("1h", F.col("ms")).alias("bucket"), "event_type")
-    g = g.agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("top"), F.round(ts.percentile(_V, 0.99), 6).alias("p99"))
+    g = g.agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("top"), F.round(ts.percentile(_v(), 0.99), 6).alias("p99"))
     return g.filter("n > 1").orderBy("bucket", "event_type").limit(500)
 
 
@@ -91,12 +95,12 @@ def _series(name: str, column, sql: str) -> None:
         return events(spark, sf_dir).select("event_id", column().alias("x"))
 
 
-_series("w13_ts_rate", lambda: F.round(ts.rate(_V, F.col("ms"), _W), 9), f"round(CASE WHEN {_PREV} IS NOT NULL AND {_DT} > 0 THEN (CASE WHEN value >= {_PREV} THEN value - {_PREV} ELSE value END) / {_DT}::DOUBLE END, 9)")
-_series("w14_ts_derivative", lambda: F.round(ts.derivative(_V, F.col("ms"), _W), 9), f"round(CASE WHEN {_PREV} IS NOT NULL AND {_DT} > 0 THEN (value - {_PREV}) / {_DT}::DOUBLE END, 9)")
-_series("w15_ts_delta", lambda: ts.delta(_V, _W), f"value - {_PREV}")
-_series("w16_ts_moving_avg", lambda: F.round(ts.moving_avg(_V, 4, _W), 6), f"round(CASE WHEN count(*) OVER {_OW[:-1]} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) = 4 THEN avg(value) OVER {_OW[:-1]} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) END, 6)")
-_series("w19_ts_lag", lambda: F.lag("value", 2).over(_W), f"lag(value, 2) OVER {_OW}")
-_series("w20_ts_lead", lambda: F.lead("value", 1).over(_W), f"lead(value) OVER {_OW}")
+_series("w13_ts_rate", lambda: F.round(ts.rate(_v(), F.col("ms"), _w()), 9), f"round(CASE WHEN {_PREV} IS NOT NULL AND {_DT} > 0 THEN (CASE WHEN value >= {_PREV} THEN value - {_PREV} ELSE value END) / {_DT}::DOUBLE END, 9)")
+_series("w14_ts_derivative", lambda: F.round(ts.derivative(_v(), F.col("ms"), _w()), 9), f"round(CASE WHEN {_PREV} IS NOT NULL AND {_DT} > 0 THEN (value - {_PREV}) / {_DT}::DOUBLE END, 9)")
+_series("w15_ts_delta", lambda: ts.delta(_v(), _w()), f"value - {_PREV}")
+_series("w16_ts_moving_avg", lambda: F.round(ts.moving_avg(_v(), 4, _w()), 6), f"round(CASE WHEN count(*) OVER {_OW[:-1]} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) = 4 THEN avg(value) OVER {_OW[:-1]} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) END, 6)")
+_series("w19_ts_lag", lambda: F.lag("value", 2).over(_w()), f"lag(value, 2) OVER {_OW}")
+_series("w20_ts_lead", lambda: F.lead("value", 1).over(_w()), f"lead(value) OVER {_OW}")
 _series("w21_ts_rank", lambda: F.rank().over(Window.partitionBy("user_id").orderBy("value")), "(rank() OVER (PARTITION BY user_id ORDER BY value))::INTEGER")
 
 _KNOWN = "(CASE WHEN event_id % 3 <> 0 THEN value END)"
@@ -105,8 +109,8 @@ _KNOWN = "(CASE WHEN event_id % 3 <> 0 THEN value END)"
 def _interp(method: str, sql: str) -> None:
     @query(f"w18_ts_interpolate_{method}", f"WITH k AS (SELECT *, (epoch_us(ts) // 1000) AS ms, {_KNOWN} AS v FROM events) SELECT event_id, round({sql}, 6) AS x FROM k WINDOW p AS (PARTITION BY user_id ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), q AS (PARTITION BY user_id ORDER BY ms, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        v = F.when(F.col("event_id") % 3 != 0, _V)
-        return events(spark, sf_dir).select("event_id", F.round(ts.interpolate(v, F.col("ms"), method, _W), 6).alias("x"))
+        v = F.when(F.col("event_id") % 3 != 0, _v())
+        return events(spark, sf_dir).select("event_id", F.round(ts.interpolate(v, F.col("ms"), method, _w()), 6).alias("x"))
 
 
 _B, _A = "last_value(v IGNORE NULLS) OVER p", "first_value(v IGNORE NULLS) OVER q"
@@ -130,17 +134,17 @@ def ema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("x5_ts_percentile", "SELECT user_id, round(quantile_cont(value, 0.9), 6) AS p FROM events GROUP BY user_id")
 def ts_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).groupBy("user_id").agg(F.round(ts.percentile(_V, 0.9), 6).alias("p"))
+    return events(spark, sf_dir).groupBy("user_id").agg(F.round(ts.percentile(_v(), 0.9), 6).alias("p"))
 
 
 @query("x6_ts_stddev", "SELECT user_id, round(CASE WHEN count(value) >= 2 THEN stddev_pop(value) END, 6) AS s FROM events GROUP BY user_id")
 def ts_stddev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).groupBy("user_id").agg(F.round(ts.stddev(_V), 6).alias("s"))
+    return events(spark, sf_dir).groupBy("user_id").agg(F.round(ts.stddev(_v()), 6).alias("s"))
 
 
 @query("x7_ts_correlate", "SELECT event_type, round(corr(value, event_id::DOUBLE), 6) AS r FROM events GROUP BY event_type")
 def ts_correlate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).groupBy("event_type").agg(F.round(ts.correlate(_V, F.col("event_id").cast("double")), 6).alias("r"))
+    return events(spark, sf_dir).groupBy("event_type").agg(F.round(ts.correlate(_v(), F.col("event_id").cast("double")), 6).alias("r"))
 
 
 @query("x1_approx_count_distinct")
