@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from polyloom.llm.common import SPACE, connected_components, cut, stored
 
 HOT = 16
+BROADCAST_ROWS = 1_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLOCK = 1 << 17
 
@@ -83,13 +84,15 @@ def links(fps: DataFrame, bits: int = 2) -> DataFrame:
     """(a, b): pairs of distinct fingerprints (column ``fp``) that between them connect all that differ in <= ``bits`` (1 or 2)."""
     if bits not in (1, 2):
         raise ValueError("bits must be 1 or 2")
-    keys = _keys(fps)
+    # 64 rows come of each: spread them whatever the size of the fingerprints alone
+    keys = _keys(fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"))
     met = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
     met = stored(met, "simhash-keys")
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits
     two = met.filter("n = 2").select("a", "b").filter(near("a", "b"))
     more = met.filter("n > 2").select("key", "n")
-    members = stored(keys.join(more, "key"), "simhash-members")
+    # two bigints a row: up to BROADCAST_ROWS of them may be broadcast, more are joined by a shuffle
+    members = stored(keys.join(F.broadcast(more) if more.count() <= BROADCAST_ROWS else more, "key"), "simhash-members")
     few = members.filter(F.col("n") <= HOT)
     pairs = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").filter("a < b").select("a", "b").filter(near("a", "b"))
     crowd = members.filter(F.col("n") > HOT).select("fp").distinct()
