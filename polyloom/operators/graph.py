@@ -282,7 +282,8 @@ def louvain(edges: DataFrame, iterations: int = 10, resolution: float = 1.0) ->
     m2 = e.agg(F.sum("w")).first()[0] or 1.0
     deg = _cut(e.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")))
     lab = _cut(nodes(edges).withColumn("c", F.col("id")))
-    for i in range(2 * iterations):
+    idle = 0
+    for i in range(3 * iterations):
         tot = lab.join(deg, "id").groupBy("c").agg(F.sum("k").alias("tot"))
         near = e.join(lab.select(F.col("id").alias("dst"), "c"), "dst").groupBy("src", "c").agg(F.sum("w").alias("kin"))
         own = lab.join(deg, "id").select(F.col("id").alias("src"), F.col("c").alias("now"), "k")
@@ -292,9 +293,10 @@ def louvain(edges: DataFrame, iterations: int = 10, resolution: float = 1.0) ->
         best = cand.groupBy("src").agg(F.max(F.struct(F.round(gain, 9).alias("g"), (F.col("c") == F.col("now")).alias("stay"), (-F.col("c")).alias("nc"))).alias("b"))
         moves = best.filter((F.abs(F.xxhash64("src", F.lit(i))) % 2 == 0) & (F.col("b.g") > 0)).select("src", (-F.col("b.nc")).alias("to"))
         nxt = _cut(lab.join(moves, lab.id == moves.src, "left").select("id", F.coalesce("to", "c").alias("c"), F.col("c").alias("old")))
-        still = nxt.filter("c <> old").isEmpty()
+        # a round moves only the half that its hash picks: some idle rounds in a row mean rest
+        idle = idle + 1 if nxt.filter("c <> old").isEmpty() else 0
         lab = nxt.select("id", "c")
-        if still and i % 2:
+        if idle >= 4:
             break
     low = lab.groupBy("c").agg(F.min("id").alias("community_id"))
     return lab.join(low, "c").select(F.col("id").alias("node_id"), "community_id")

@@ -34,7 +34,7 @@ def stem(token: Column) -> Column:
     """A light English stemmer: plural and participle endings."""
     out = token
     for pattern, to in _STEMS:
-        out = F.when(F.char_length(out) > 4, F.regexp_replace(out, pattern, to)).otherwise(out)
+        out = F.when(F.char_length(out) > 3, F.regexp_replace(out, pattern, to)).otherwise(out)
     return out
 
 
