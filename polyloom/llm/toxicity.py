@@ -193,17 +193,25 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000, max_chars
 
     ``sample_docs`` bounds the labelled documents taken of either class, by a hash of their id, the same each time; those of over
     ``max_chars`` characters are left out of training.  Only the sampled ids (two times that bound at most) are broadcast,
-    so no text is shuffled.
+    so no text is shuffled but the sample, which one task fits the model on; the driver gets the dictionaries alone.
     """
     each = [
         labels.filter(F.col("toxic") == k).select("doc_id", "toxic").distinct().orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample_docs) for k in (1, 0)
     ]
     picked = cut(each[0].union(each[1]))
     texts = docs.select("doc_id", "text").filter("text is not null").filter(F.char_length("text") <= max_chars)
-    rows = texts.join(F.broadcast(picked), "doc_id").select("text", "toxic").toArrow()
-    # in an order of the texts' own, whatever the partitions
-    pairs = sorted(set(zip(rows["toxic"].to_pylist(), map(normal, rows["text"].to_pylist()))))
-    return fit([t for k, t in pairs if k == 1], [t for k, t in pairs if k == 0])
+    sample = texts.join(F.broadcast(picked), "doc_id").select("text", "toxic")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = {(k, normal(t)) for b in batches for t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+        # in an order of the texts' own, whatever the partitions
+        m = fit(sorted(t for k, t in seen if k == 1), sorted(t for k, t in seen if k == 0))
+        yield pa.RecordBatch.from_arrays([pa.array([m.toxic], pa.binary()), pa.array([m.ordinary], pa.binary()), pa.array([list(m.weights)], pa.list_(pa.float64()))], names=["toxic", "ordinary", "weights"])
+
+    row = sample.repartition(1).mapInArrow(run, "toxic binary, ordinary binary, weights array<double>").first()
+    if row is None:
+        return fit([], [])
+    return ToxicityModel(bytes(row.toxic), bytes(row.ordinary), tuple(row.weights))
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
