@@ -5,11 +5,11 @@ from __future__ import annotations
 from polyloom.queries import same
 
 # -- scans -------------------------------------------------------------------------------------------------------------
-same("s1_scan", "SELECT DISTINCT o_orderstatus, year(o_orderdate) AS y FROM orders WHERE o_totalprice > 1000 ORDER BY y, o_orderstatus")
+same("s1_scan", "SELECT DISTINCT o_orderstatus, CAST(year(o_orderdate) AS BIGINT) AS y FROM orders WHERE o_totalprice > 1000 ORDER BY y, o_orderstatus")
 same("s2_point_get", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey = 42")
 same("s3_range_scan", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 100000 AND o_totalprice < 150000")
 same("s4_index_lookup", "SELECT p_partkey, p_name FROM part WHERE p_size = 15")
-same("s5_columnar_scan", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-01-01 00:00:00'")
+same("s5_columnar_scan", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-06-01 00:00:00'")
 same("s12_estimate_count", "SELECT count(*) AS n FROM lineitem")
 same("p1_projection", "SELECT n_name, n_regionkey FROM nation")
 same("p2_computed", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge FROM lineitem")
@@ -39,7 +39,7 @@ same("p14_in", "SELECT n_name FROM nation WHERE n_regionkey IN (1, 3) AND n_nati
 same("p15_between", "SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20 AND p_retailprice NOT BETWEEN 1000 AND 1100")
 same("p16_or_groups", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_returnflag = 'R' AND l_quantity > 45) OR (l_returnflag = 'A' AND l_quantity < 3)")
 same("p17_exists", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 200000) AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
-same("p17_not_exists", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+same("p17_not_exists", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 100000)")
 same("p18_scalar_subquery", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer)")
 same("p21_cte", "WITH big AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) SELECT n, count(*) AS customers FROM (SELECT n FROM big WHERE n > 2) t GROUP BY n")
 same(
@@ -52,7 +52,7 @@ same("j2_left", "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orde
 same("j3_right", "SELECT o.o_orderkey, c.c_custkey FROM orders o RIGHT JOIN customer c ON o.o_custkey = c.c_custkey AND o.o_totalprice > 300000")
 same("j4_full", "SELECT s.s_suppkey, c.c_custkey FROM supplier s FULL OUTER JOIN customer c ON s.s_suppkey = c.c_custkey AND s.s_nationkey = c.c_nationkey")
 same("j5_semi", "SELECT p.p_partkey FROM part p LEFT SEMI JOIN lineitem l ON p.p_partkey = l.l_partkey AND l.l_quantity > 49", "SELECT p.p_partkey FROM part p SEMI JOIN lineitem l ON p.p_partkey = l.l_partkey AND l.l_quantity > 49")
-same("j6_anti", "SELECT p.p_partkey FROM part p LEFT ANTI JOIN lineitem l ON p.p_partkey = l.l_partkey AND l.l_quantity > 30", "SELECT p.p_partkey FROM part p ANTI JOIN lineitem l ON p.p_partkey = l.l_partkey AND l.l_quantity > 30")
+same("j6_anti", "SELECT p.p_partkey FROM part p LEFT ANTI JOIN lineitem l ON p.p_partkey = l.l_partkey AND l.l_quantity > 48", "SELECT p.p_partkey FROM part p ANTI JOIN lineitem l ON p.p_partkey = l.l_partkey AND l.l_quantity > 48")
 same("j7_cross", "SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n")
 same("j8_theta", "SELECT r.r_regionkey, n.n_nationkey FROM region r JOIN nation n ON n.n_nationkey > r.r_regionkey * 5 AND n.n_regionkey <> r.r_regionkey")
 same("j9_broadcast", "SELECT /*+ BROADCAST(n) */ n.n_name, count(*) AS n_cust FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name")
@@ -78,7 +78,7 @@ same(
     "SELECT o_orderstatus, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY o_totalprice), 4) AS med, round(percentile(o_totalprice, 0.9), 4) AS p90 FROM orders GROUP BY o_orderstatus",
     "SELECT o_orderstatus, round(quantile_cont(o_totalprice, 0.5), 4) AS med, round(quantile_cont(o_totalprice, 0.9), 4) AS p90 FROM orders GROUP BY o_orderstatus",
 )
-same("a13_group_by_expr", "SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS n FROM orders GROUP BY year(o_orderdate), month(o_orderdate)")
+same("a13_group_by_expr", "SELECT CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m, count(*) AS n FROM orders GROUP BY year(o_orderdate), month(o_orderdate)")
 same("a14_having", "SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey HAVING count(*) > 12 AND sum(o_totalprice) > 100000")
 same(
     "a15_nested",
@@ -113,7 +113,7 @@ same("o5_top_k", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem
 same("u1_union_all", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey AS k FROM supplier")
 same("u2_union", "SELECT c_nationkey AS k FROM customer WHERE c_acctbal < 0 UNION SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 5000")
 same("u3_intersect", "SELECT c_nationkey AS k FROM customer WHERE c_acctbal < 0 INTERSECT SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 5000")
-same("u4_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey AS k FROM orders")
+same("u4_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'P'")
 same("u4_except_all", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey AS k FROM supplier")
 # -- whole queries -----------------------------------------------------------------------------------------------------
 same("q1_pricing", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS sum_charge, round(avg(l_quantity), 4) AS avg_qty, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus")
