@@ -122,15 +122,5 @@ def groups(docs: DataFrame, k: int = 3, bits: int = 2, id_cols: tuple[str, ...]
     return base.join(fps, "fp").join(of, "fp", "left").select(*id_cols, "fp", F.coalesce("component_id", "least").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, k: int = 3, bits: int = 2) -> DataFrame:
-    """The rows of ``docs`` that stand for their group: the least id, of those the least hash of the text."""
-    th = F.xxhash64("text", F.lit(3))
-    g = groups(docs.select("doc_id", "text", th.alias("th_")), k, bits, ("doc_id", "th_"))
-    keep = g.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th_")).alias("r")).select(F.col("r.doc_id").alias("k_"), F.col("r.th_").alias("t_"))
-    d = docs.withColumn("th_", th)
-    # rows that repeat in id and text are one document
-    return d.join(keep, d.doc_id.eqNullSafe(keep.k_) & (d.th_ == keep.t_)).dropDuplicates(["doc_id", "th_"]).select(*docs.columns)
-
-
 def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

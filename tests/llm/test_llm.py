@@ -462,3 +462,44 @@ def test_pipeline_stages(spark, tmp_path):
     out = P.run(spark, sf)
     assert out.filter("not exact").count() == 0 and set(out.columns) == {"doc_id", "source", "ids", "n_ids", "exact"}
     assert {r.doc_id for r in out.collect()} == ids[3]
+
+
+@pytest.mark.parametrize("hot, sample", [(0, 64), (4, 1), (16, 64)])
+def test_near_copies_match_brute_force(spark, hot, sample, monkeypatch):
+    import corpus_pipeline as P
+    from polyloom.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "HOT", hot)
+    monkeypatch.setattr(near_copies, "SAMPLE", sample)
+    rng = random.Random(21)
+    mark = say(rng, 40).split()
+    rows = []
+    for i in range(25):
+        w = say(rng, rng.randint(20, 200)).split()
+        if i % 2:
+            w = mark + w
+        rows.append(w)
+        for k in range(rng.randint(1, 8)):
+            # edits of the first and edits of the last copy: chains whose ends are not similar
+            c = list(rows[-1] if i % 3 else w)
+            for _ in range(rng.randint(1, 1 + len(w) // 25)):
+                c[rng.randrange(len(c))] = f"e{rng.randrange(10**6)}"
+            rows.append(c)
+    texts = [" ".join(w) for w in rows] + [None, "", "one", "One", "one two three four", "one two three five", rows[0][0].upper(), " ".join(rows[3]).upper()]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for t in texts]
+    u = Union()
+    for a, x in enumerate(sets):
+        u.find(a)
+        for b, y in enumerate(sets[:a]):
+            if 5 * len(x & y) >= 4 * len(x | y):
+                u.join(a, b)
+    want = {u.find(a) for a in range(len(texts))}
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [r.doc_id for r in P.drop_near_copies(spark, docs, "").collect()]
+    assert sorted(got) == sorted(want) and len(want) < len(texts) - 25
+    assert P.drop_near_copies(spark, empty(spark), "").count() == 0
