@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-K, PIECE, SKETCH, SHORT = 4, 8, 64, 400
+K, PIECE, SKETCH = 4, 3, 64
 _DIGITS = 8
 
 
@@ -40,13 +40,6 @@ def anchors(docs: DataFrame, k: int = K) -> DataFrame:
     return h.withColumn("anchors", F.when(n == 0, none).when(n < k, one).otherwise(some)).drop("h_")
 
 
-def character_hashes(text: Column) -> Column:
-    """Hashes of the character trigrams of a text of at most SHORT characters; longer texts have none."""
-    n = F.char_length(text)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 2)), lambda i: F.xxhash64(F.substring(text, i, F.lit(3)), F.lit(3)))
-    return F.when((n > 0) & (n <= SHORT), grams).otherwise(F.array().cast("array<bigint>"))
-
-
 def _chosen(h: str) -> Column:
     """Hashes of the closed syncmers over the token hashes in column ``h`` (a column: lambdas index it)."""
     at = lambda i, j: F.get(F.col(h), i + j)
@@ -59,13 +52,13 @@ def _chosen(h: str) -> Column:
 def with_fingerprint(docs: DataFrame, text: str, name: str) -> DataFrame:
     """``docs`` and ``name``: the sketch of column ``text``.
 
-    Texts of at most SHORT characters have anchors over character trigrams too; a few words alone would leave them with hardly any.
+    Texts of any length have the same kind of anchors; tokens are shorter than most words, so that a few words have several.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    h = docs.withColumn("h_", token_hashes(whole)).withColumn("c_", character_hashes(whole))
-    h = h.withColumn("a_", F.transform(F.concat(_chosen("h_"), _chosen("c_")), lambda x: F.shiftrightunsigned(x, 32)))
+    h = docs.withColumn("h_", token_hashes(whole))
+    h = h.withColumn("a_", F.transform(_chosen("h_"), lambda x: F.shiftrightunsigned(x, 32)))
     least = F.slice(F.array_sort(F.array_distinct("a_")), 1, SKETCH)
-    return h.withColumn(name, F.array_join(F.transform(least, lambda x: F.lpad(F.lower(F.hex(x)), _DIGITS, "0")), "")).drop("h_", "c_", "a_")
+    return h.withColumn(name, F.array_join(F.transform(least, lambda x: F.lpad(F.lower(F.hex(x)), _DIGITS, "0")), "")).drop("h_", "a_")
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -503,3 +503,19 @@ def test_near_copies_match_brute_force(spark, hot, sample, monkeypatch):
     got = [r.doc_id for r in P.drop_near_copies(spark, docs, "").collect()]
     assert sorted(got) == sorted(want) and len(want) < len(texts) - 25
     assert P.drop_near_copies(spark, empty(spark), "").count() == 0
+
+
+def test_fingerprints_do_not_depend_on_a_size_limit(spark):
+    rng = random.Random(31)
+    texts = [say(rng, 170) for _ in range(8)]
+    pairs = [(t[:n], t[: n + 1]) for t in texts for n in (100, 200, 400, 800) if len(t) > n]
+    d = spark.createDataFrame(pairs, "a string, b string")
+    d = fingerprints.with_fingerprint(fingerprints.with_fingerprint(d, "a", "fa"), "b", "fb")
+    assert min(r.x for r in d.select(fingerprints.likeness(F.col("fa"), F.col("fb")).alias("x")).collect()) >= 0.85
+    # the next document is short, so the edited text shrinks from over 400 characters to fewer
+    rows = [(2 * i + 1, t[:600]) for i, t in enumerate(texts) if len(t) >= 600] + [(2 * i, "ab cd") for i in range(len(texts))]
+    got = fingerprints.compare_edited(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_chars = 600").collect()
+    assert got and min(r.near_edited for r in got) >= 0.3
+    # short texts have several anchors
+    few = fingerprints.anchors(spark.createDataFrame([(" ".join(t.split()[:12]),) for t in texts], "text string")).collect()
+    assert min(len(r.anchors) for r in few) >= 6
