@@ -361,7 +361,7 @@ def test_near_passage_with_an_edit(spark):
     assert got[1].n_passage_words >= 100
 
 
-def test_windows_and_similarity():
+def test_windows_and_surroundings():
     x = np.random.default_rng(1).integers(0, 1 << 60, 300).astype(np.uint64)
     v, lo, c, hi = passages.compact_windows(x, 20, 0)
     h = passages._mix(x ^ np.uint64(0x94D049BB133111EB))
@@ -369,10 +369,108 @@ def test_windows_and_similarity():
         assert h[a : z + 1].argmin() + a == m and z - a + 1 >= 20
         # it ends at a smaller hash, or where a stretch of 20 that holds m cannot reach
         assert (a == 0 or h[a - 1] < h[m] or m - a == 19) and (z == 299 or h[z + 1] < h[m] or z - m == 19)
-    a = np.arange(100, dtype=np.uint32)
-    b = a.copy()
-    b[50:55] = 1000
-    assert len(passages.similar_stretches(a, b, 0, 46, 0.8)) == 55 and len(passages.similar_stretches(a, a + 500, 0, 46, 0.8)) == 0
+    # several texts at once give what each gives by itself
+    text = np.repeat([3, 4, 9], [100, 15, 185])
+    together = [tuple(w) for w in zip(*passages.compact_windows(x, 20, 1, text))]
+    apart = [(v, lo + s, c + s, hi + s) for s, e in ((0, 100), (100, 115), (115, 300)) for v, lo, c, hi in zip(*passages.compact_windows(x[s:e], 20, 1))]
+    assert together == apart
+    y = np.concatenate([x[:7], x[40:140], x[:9]])
+    k = lambda z, at: tuple(int(q[0]) for q in passages.surroundings(z, np.zeros(len(z), np.int64), np.array([at]), 20))
+    assert k(x, 80)[:3] == k(y, 47)[:3] and k(x, 80)[0] != k(x, 81)[0] and k(x, 80)[3] == 80 and k(x, 45)[0] != k(y, 12)[0]
+
+
+def test_similarity_counts_facing_stretches():
+    rng = np.random.default_rng(2)
+    w, mid = 46, 45
+    a = rng.integers(1, 1 << 16, 91).astype(np.uint16)
+    full = np.array([mid])
+
+    def spans(b, before=full, after=full):
+        p, q = passages.similar(a[None], b[None], before, after, w, 0.8)
+        return int(p[0]), int(q[0])
+
+    assert spans(a) == (0, 45) and spans(a, np.array([10]), full) == (35, 45)
+    assert spans(a, full, np.array([3])) == (0, 3)
+    for k in (5, 14):
+        b = a.copy()
+        b[45 - k // 2 : 45 + k - k // 2] = 0
+        p, q = spans(b)
+        assert (p <= q) == (k == 5)
+    # a word put in: what follows is one place off
+    b = np.concatenate([a[:50], np.array([0] * 5, np.uint16), a[54:90]])
+    assert spans(b) == (0, 45)
+    b = np.concatenate([a[:50], np.array([0] * 6, np.uint16), a[54:89]])
+    assert spans(b)[1] < 45
+    # X Y against Y X
+    assert spans(np.concatenate([a[46:], a[:46]]))[0] > spans(np.concatenate([a[46:], a[:46]]))[1]
+
+
+def passage_truth(texts, words=50, similarity=0.8):
+    """Pairs of texts with facing stretches of that similarity (words put in or left out move the stretches by one word at most), by brute force."""
+    width = words - 4
+    sh = [[tuple(w[i : i + 5]) for i in range(len(w) - 4)] for w in (t.lower().split() for t in texts)]
+    out = set()
+    for a, x in enumerate(sh):
+        for b in range(a + 1, len(sh)):
+            y = sh[b]
+            where = defaultdict(list)
+            for j, s in enumerate(y):
+                where[s].append(j)
+            shifts = {j - i for i, s in enumerate(x) for j in where.get(s, ())}
+            for d in shifts:
+                for i in range(max(0, -d), min(len(x), len(y) - d) - width + 1):
+                    p, q = set(x[i : i + width]), set(y[i + d : i + d + width])
+                    if len(p & q) >= similarity * len(p | q):
+                        out.add((a, b))
+                        break
+    return out
+
+
+@pytest.mark.parametrize("bucket", [8192, 6])
+def test_near_passages_recall(spark, bucket, monkeypatch):
+    monkeypatch.setattr(passages, "BUCKET", bucket)
+    rng = random.Random(41)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts, family = [], []
+    # isolated pairs at the limit: 50 words, one of them changed, unlike surroundings
+    for f in range(120):
+        p = [word() for _ in range(50)]
+        q = list(p)
+        q[rng.randrange(6, 44)] = word()
+        for z in (p, q):
+            texts.append(" ".join([word() for _ in range(rng.randint(5, 60))] + z + [word() for _ in range(rng.randint(5, 60))]))
+            family.append(f)
+    # crowds of near copies: each member's passage is edited by itself, so that many are similar to few others only
+    for f in range(120, 126):
+        p = [word() for _ in range(70)]
+        for _ in range(25):
+            q = list(p)
+            for _ in range(rng.randint(0, 2)):
+                k = rng.randrange(70)
+                q[k : k + 1] = rng.choice([[word()], [], [q[k] if k < len(q) else word(), word()]])
+            texts.append(" ".join([word() for _ in range(20)] + q + [word() for _ in range(20)]))
+            family.append(f)
+    # a short phrase that many texts share is no passage
+    phrase = [word() for _ in range(12)]
+    for f in range(126, 166):
+        texts.append(" ".join([word() for _ in range(60)] + phrase + [word() for _ in range(60)]))
+        family.append(f)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in passages.near_passages(docs).collect()}
+    true = passage_truth([t for t, f in zip(texts, family) if f < 120])
+    assert len(true) == 120
+    found = sum(got[a].component_id == got[b].component_id == a for a, b in true)
+    assert found >= 0.9 * len(true)
+    n = 240
+    crowd = passage_truth(texts[n : n + 150])
+    u = Union()
+    for a, b in crowd:
+        u.join(n + a, n + b)
+    same = sum(got[n + a].component_id == got[n + b].component_id for a, b in crowd)
+    assert same >= 0.97 * len(crowd)
+    for i, f in enumerate(family):
+        assert family[got[i].component_id] == f
+        assert f < 126 or got[i].n_passages == 0
 
 
 def test_fingerprints(spark, docs, corpus):
