@@ -473,7 +473,43 @@ def test_near_passages_recall(spark, bucket, monkeypatch):
         assert f < 126 or got[i].n_passages == 0
 
 
-def test_fingerprints(spark, docs, corpus):
+def tokens_of(t):
+    v = fingerprints._VOWELS
+    return re.findall(rf"[^ \t\n\v\f\r{v}]{{0,2}}[{v}]|[^ \t\n\v\f\r]", t)
+
+
+def sketch_of(t, k=5):
+    """The fingerprint, computed by itself: closed syncmers over token hashes, least 64 with their first places."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    h = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in tokens_of(t)]
+
+    def chain(part):
+        x = 42
+        for y in part:
+            x = xxhash.xxh64_intdigest((y & (1 << 64) - 1).to_bytes(8, "little"), x)
+        return x
+
+    if len(h) < k:
+        found = [(chain(h) >> 32, 0)] if h else []
+    else:
+        found = [(chain(h[i : i + k]) >> 32, i) for i in range(len(h) - k + 1) if min(h[i : i + k]) in (h[i], h[i + k - 1])]
+    first = {}
+    for x, i in found:
+        first.setdefault(x, i)
+    return "".join(f"{x:08x}{i:06x}" for x, i in sorted(first.items())[:64])
+
+
+def likeness_of(a, b):
+    x, y = ({f[i : i + 8]: int(f[i + 8 : i + 14], 16) for i in range(0, len(f), 14)} for f in (a, b))
+    if not x and not y:
+        return 1.0
+    least = sorted(set(x) | set(y))[:64]
+    off = [x[h] - y[h] for h in least if h in x and h in y]
+    held = [o for i, o in enumerate(off) if len(off) == 1 or any(abs(o - p) <= 16 for j, p in enumerate(off) if j != i)]
+    return len(held) / len(least)
+
+
+def test_fingerprints_match_an_independent_computation(spark, docs, corpus):
     got = fingerprints.compare_edited(docs, ranges=5).collect()
     assert len(got) == len(corpus)
     unique = [(i, t or "") for i, t in corpus if i not in (406, 407)]
@@ -481,23 +517,36 @@ def test_fingerprints(spark, docs, corpus):
     nxt = {i: ordered[(k + 1) % len(ordered)] for k, (i, _) in enumerate(ordered)}
     by = {r.doc_id: r for r in got}
     for i, t in unique:
+        assert by[i].fingerprint == sketch_of(t)
         if nxt[i][0] in (406, 407):
             continue
         half = len(t) // 2
         edited = t[: len(t) - half] + (nxt[i][1] or "")[:half]
         assert by[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and by[i].n_chars == len(t)
-        assert 0 <= by[i].near_edited <= 1 and 0 <= by[i].near_next <= 1
-    prints = defaultdict(set)
-    for i, t in unique:
-        prints[t].add(by[i].fingerprint)
-    assert all(len(v) == 1 for v in prints.values())
+        assert by[i].edited_fingerprint == sketch_of(edited)
+        assert by[i].near_edited == pytest.approx(likeness_of(sketch_of(t), sketch_of(edited)))
+        assert by[i].near_next == pytest.approx(likeness_of(sketch_of(t), sketch_of(nxt[i][1] or "")))
     long = [by[i] for i, t in unique if len(t) > 400 and i < 40]
     assert sum(r.near_edited > r.near_next for r in long) >= 0.95 * len(long)
     one = fingerprints.compare_edited(docs.filter("doc_id = 3")).first()
     assert one.near_next == 1.0
     assert fingerprints.compare_edited(empty(spark)).count() == 0
-    anchors = {r.doc_id: r.anchors for r in fingerprints.anchors(docs).filter("doc_id in (3, 400, 403)").collect()}
-    assert len(anchors[403]) == 1 and anchors[400] == [] and len(anchors[3]) > 5
+    found = {r.doc_id: r.anchors for r in fingerprints.anchors(docs).filter("doc_id in (3, 400, 403)").collect()}
+    assert len(found[403]) == 1 and found[400] == [] and len(found[3]) > 5
+
+
+def test_next_document_with_crowded_and_missing_ids(spark):
+    rows = [(1, f"text {k}") for k in range(60)] + [(None, f"none {k}") for k in range(40)] + [(i, f"t{i}") for i in range(2, 30)] + [(1, "text 5")] * 2
+    d = fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), ("doc_id", "text"), 7)
+    got = d.collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, rows))
+    assert sorted(map(str, (tuple(r.next) for r in got))) == sorted(map(str, rows))
+    after = {(r.doc_id, r.text): tuple(r.next) for r in got}
+    assert all(after[(i, f"t{i}")] == (i - 1, f"t{i - 1}") for i in range(3, 30)) and after[(2, "t2")][0] == 1
+    # ids go down, once around
+    assert sum((b[0] if b[0] is not None else -1) > (a[0] if a[0] is not None else -1) for a, b in after.items()) == 1
+    text_ids = spark.createDataFrame([("b", "x y"), ("a", "z"), (None, None), ("7", "q")], "doc_id string, text string")
+    assert fingerprints.compare_edited(text_ids).count() == 4
 
 
 def test_embeddings(spark, monkeypatch):
@@ -603,17 +652,26 @@ def test_near_copies_match_brute_force(spark, hot, sample, monkeypatch):
     assert P.drop_near_copies(spark, empty(spark), "").count() == 0
 
 
-def test_fingerprints_do_not_depend_on_a_size_limit(spark):
+def test_fingerprints_are_free_of_context(spark):
     rng = random.Random(31)
     texts = [say(rng, 170) for _ in range(8)]
-    pairs = [(t[:n], t[: n + 1]) for t in texts for n in (100, 200, 400, 800) if len(t) > n]
-    d = spark.createDataFrame(pairs, "a string, b string")
-    d = fingerprints.with_fingerprint(fingerprints.with_fingerprint(d, "a", "fa"), "b", "fb")
-    assert min(r.x for r in d.select(fingerprints.likeness(F.col("fa"), F.col("fb")).alias("x")).collect()) >= 0.85
+    han = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(1200)) for _ in range(4)]
+    code = ["".join(rng.choice("bcdfghjklm0123456789aeXYZ+/=") for _ in range(1200)) for _ in range(4)]
+    pairs = [(t[:n], t[: n + 1], 0.9) for t in texts + han + code for n in (200, 400, 800) if len(t) > n]
+    pairs += [("字" + t, t, 0.95) for t in han] + [("q" + t, t, 0.95) for t in texts + code] + [(t[:600] + "字" + t[600:], t, 0.8) for t in han + code]
+    pairs += [(t[400:] + t[:400], t, 0.7) for t in texts + han] + [("x" * 400, "x" * 401, 1.0)]
+    d = spark.createDataFrame(pairs, "a string, b string, least double")
+    like = lambda d: d.select("*", fingerprints.likeness(fingerprints.fingerprint(F.col("a")), fingerprints.fingerprint(F.col("b"))).alias("x"))
+    assert like(d).filter("x < least").count() == 0
+    # texts of unlike words, and unlike texts of the same few syllables
+    far = spark.createDataFrame([(a, b) for a, b in zip(han, han[1:])] + [(a, b) for a, b in zip(code, code[1:])], "a string, b string")
+    assert like(far).filter("x > 0.05").count() == 0
     # the next document is short, so the edited text shrinks from over 400 characters to fewer
     rows = [(2 * i + 1, t[:600]) for i, t in enumerate(texts) if len(t) >= 600] + [(2 * i, "ab cd") for i in range(len(texts))]
     got = fingerprints.compare_edited(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_chars = 600").collect()
     assert got and min(r.near_edited for r in got) >= 0.3
-    # short texts have several anchors
+    # short texts have several anchors, very long ones a sketch of the same size
     few = fingerprints.anchors(spark.createDataFrame([(" ".join(t.split()[:12]),) for t in texts], "text string")).collect()
     assert min(len(r.anchors) for r in few) >= 6
+    long = spark.createDataFrame([(say(rng, 60_000),)], "text string").select("text", fingerprints.fingerprint(F.col("text")).alias("f")).first()
+    assert long.f == sketch_of(long.text)
