@@ -84,8 +84,8 @@ def links(fps: DataFrame, bits: int = 2) -> DataFrame:
     """(a, b): pairs of distinct fingerprints (column ``fp``) that between them connect all that differ in <= ``bits`` (1 or 2)."""
     if bits not in (1, 2):
         raise ValueError("bits must be 1 or 2")
-    # 64 rows come of each: spread them whatever the size of the fingerprints alone
-    keys = _keys(fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"))
+    # 64 rows come of each: spread them whatever the size of the fingerprints alone (by another key than theirs, or the exchange before would do)
+    keys = _keys(fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp")))
     met = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
     met = stored(met, "simhash-keys")
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits
