@@ -8,9 +8,10 @@ those shorter than ``min_chars`` stay.
 2. Halves prune: of two lines within one edit either the first half or the rest is equal, counted from the shorter
    line's length m, so a line that shares no half (for m its own length, or one less) has no partner.
 3. What is left emits its deletion variants as keys: all strings with one code point removed, and the line itself.
-   Keys are sums of weighted code points, so that running sums give each variant's key
+   Keys combine hashes of (character, place) by exclusive or, so that running values give each variant's key
    in constant time; a very long line costs its length, not its square.
-4. Equal keys are joined, pairs verified by bounded edit distance, and the later line's class is removed.
+4. Lines that share a variant with the same place left out differ in that character alone: each is joined with the earliest of them, so
+   a crowd makes no pairs.  A line is joined with those that have it for a variant.  Pairs are verified by bounded edit distance, and the later line's class is removed.
 """
 
 from __future__ import annotations
@@ -48,20 +49,19 @@ def _halves(line: Column) -> Column:
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """h1, key, one: the deletion variants of each line and, with ``one`` false, the line itself."""
-    weight = lambda pos: F.xxhash64(pos, F.lit(9)).bitwiseAND(F.lit((1 << 20) - 1))
-    chars = lines.select("h1", "line", F.posexplode(F.split("line", "")).alias("p", "c")).withColumn("c", F.ascii("c").cast("long")).filter("c > 0")
-    chars = chars.select("h1", "p", (F.col("c") * weight(F.col("p"))).alias("here"), (F.col("c") * weight(F.col("p") - 1)).alias("moved"))
+    """h1, key, at: the deletion variants of each line, each with the place of the character left out, and the line itself (``at`` -1)."""
+    chars = lines.select("h1", F.posexplode(F.split("line", "")).alias("p", "c")).filter("c <> ''")
+    chars = chars.select("h1", "p", F.xxhash64("c", "p").alias("here"), F.xxhash64("c", F.col("p") - 1).alias("moved"))
     w = Window.partitionBy("h1").orderBy("p")
-    ahead, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
     total = Window.partitionBy("h1")
-    n = F.count("*").over(total)
-    # the shifted suffix is the total less the running sum
-    moved = F.sum("moved").over(total) - F.sum("moved").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    assert after is not None
-    s = chars.select("h1", F.struct((n - 1).alias("n"), (F.coalesce(F.sum("here").over(ahead), F.lit(0)) + moved).alias("s")).alias("key"))
-    whole = chars.groupBy("h1").agg(F.struct(F.count("*").alias("n"), F.sum("here").alias("s")).alias("key"))
-    return s.union(whole.select("h1", "key")).select("h1", F.xxhash64("key.n", "key.s").alias("key")).distinct()
+    none = F.lit(0).cast("long")
+    ahead = F.coalesce(F.bit_xor("here").over(w.rowsBetween(Window.unboundedPreceding, -1)), none)
+    # the shifted suffix is the total less what has been seen
+    moved = F.bit_xor("moved").over(total).bitwiseXOR(F.bit_xor("moved").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    s = chars.select("h1", (F.count("*").over(total) - 1).alias("n"), ahead.bitwiseXOR(moved).alias("s"), F.col("p").alias("at"))
+    whole = chars.groupBy("h1").agg(F.count("*").alias("n"), F.bit_xor("here").alias("s"))
+    whole = whole.union(lines.filter("line = ''").select("h1", none.alias("n"), none.alias("s")))
+    return s.union(whole.select("h1", "n", "s", F.lit(-1).alias("at"))).select("h1", F.xxhash64("n", "s").alias("key"), "at")
 
 
 def removals(docs: DataFrame, min_chars: int = 16, max_edits: int = 1) -> DataFrame:
@@ -97,8 +97,14 @@ def _near(docs: DataFrame, first: DataFrame, min_chars: int) -> DataFrame:
     text = stored(text, "line-texts")
     variants = _variants(text.select("h1", "line"))
     met = variants.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("key")
-    v = stored(variants.join(met, "key"), "line-variants")
-    pairs = v.join(v.select("key", F.col("h1").alias("g1")), "key").filter("h1 < g1").select("h1", "g1").distinct()
+    v = stored(variants.join(met, "key").join(text.select("h1", "first"), "h1"), "line-variants")
+    # lines that are equal but for one character at one place are all within one edit of the earliest of them
+    left_out = v.filter("at >= 0")
+    earliest = left_out.groupBy("key", "at").agg(F.min(F.struct("first", "h1")).alias("e")).select("key", "at", F.col("e.h1").alias("g1"))
+    changed = left_out.join(earliest, ["key", "at"]).select("h1", "g1")
+    # a line and those that are it with one character put in
+    longer = v.filter("at < 0").select("key", F.col("h1").alias("g1")).join(left_out, "key").select("h1", "g1")
+    pairs = changed.union(longer).filter("h1 <> g1").distinct()
     other = text.select(F.col("h1").alias("g1"), F.col("first").alias("gfirst"), F.col("line").alias("gline"))
     near = pairs.join(text, "h1").join(other, "g1").filter((F.abs(F.char_length("line") - F.char_length("gline")) <= 1) & (F.levenshtein("line", "gline", 1) >= 0))
     late = near.select(F.when(F.col("first") > F.col("gfirst"), F.col("h1")).otherwise(F.col("g1")).alias("h1")).distinct()
@@ -109,7 +115,7 @@ def _near(docs: DataFrame, first: DataFrame, min_chars: int) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_chars: int = 16, max_edits: int = 1) -> DataFrame:
     """``docs`` with ``text`` less its removed lines, and n_lines, n_removed.
 
-    A null text stays null and has no lines; an empty text has one, which stays.  An earlier line counts even if it is
+    Lines of fewer than ``min_chars`` characters stay (0: all are compared).  A null text stays null and has no lines; an empty text has one, which stays.  An earlier line counts even if it is
     itself removed for a still earlier one.  Rows that repeat in id and text are one document: the same lines
     go from each.  Rows with one id and different texts come in the order of a hash of their text.  Other columns pass through.
     """
