@@ -6,10 +6,12 @@ That is water filling: sources sorted by cap/weight, a prefix of them is at
 the cap, and the rest share what is left, so two running sums over the (one row
 a source) table give the level without a loop.
 
-Sampling: a document expects ``target / source_size`` copies, times its own
-tilt if a ``tilt`` column is named.  The whole part of that number is taken for
+Sampling: a document expects ``target / source_size`` copies, more if it is long and fewer if it is short: fragments
+of a few words are the least wanted part of any source.  The lean is balanced in each source, so that expected words
+add up to the target, and never lifts a document over the cap (or, if a ``tilt`` column is named, expected copies are in proportion to it).
+The whole part of the expected number is taken for
 certain; the remaining fraction is its inclusion probability p, and documents
-are ranked by (u/(1-u)) / (p/(1-p)), u being a hash of the id.  The first
+are ranked by (u/(1-u)) / (p/(1-p)), u being a hash of the id and text.  The first
 documents in that order are taken until the source's remaining words are used
 up.  The order is cut without a sort of the whole source: ranks fall in
 bins of some thousand documents, bins are summed and accumulated, and only the one
@@ -58,9 +60,15 @@ def targets(sizes: DataFrame, cap: int = 3, weights: tuple[int, ...] = (1, 2, 3)
     ).drop("total", "capped", "w_rest", "lambda", "level", "w")
 
 
-def unit(doc_id: Column) -> Column:
-    """A number in (0, 1) from the md5 of the id's text: the same in every run and in any SQL engine."""
-    return (F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
+def unit(doc_id: Column, text: Column) -> Column:
+    """A number in (0, 1) from the md5 of the id and the text: the same in every run and in any SQL engine; rows without an id differ by their texts."""
+    name = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return (F.conv(F.substring(F.md5(name.cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
+
+
+def fullness(size: Column) -> Column:
+    """0 to 1999, growing with the number of words; half way at 100."""
+    return F.floor(F.lit(2000) * size / (size + 100)).cast("long")
 
 
 def mix(docs: DataFrame, cap: int = 3, weights: tuple[int, ...] = (1, 2, 3), tilt: str | None = None, bin_docs: int = 4096, id_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -72,19 +80,25 @@ def mix(docs: DataFrame, cap: int = 3, weights: tuple[int, ...] = (1, 2, 3), til
     an empty table gives no rows; other columns are ignored.  ``tilt``: a positive column that
     makes some documents likelier; null counts as 1.
     """
-    lean = docs.select(*id_cols, "source", word_count(F.col("text")).alias("size"), (F.coalesce(F.col(tilt).cast("double"), F.lit(1.0)) if tilt else F.lit(1.0)).alias("tilt"))
+    lean = docs.select(*id_cols, "source", word_count(F.col("text")).alias("size"), (F.coalesce(F.col(tilt).cast("double"), F.lit(1.0)) if tilt else F.lit(1.0)).alias("tilt"), unit(F.col("doc_id"), F.col("text")).alias("u"))
     base = stored(lean, "mix")
     per = base.groupBy("source").agg(
         F.sum("size").alias("source_size"),
         F.sum(F.when(F.col("size") > 0, 1).otherwise(0)).alias("n_docs"),
         F.sum(F.col("size") * F.col("tilt")).alias("mass"),
+        F.sum(F.col("size") * fullness(F.col("size"))).alias("full"),
     )
-    t = targets(per, cap, weights).select(F.col("source").alias("s_"), "source_size", "target", "n_docs", "mass")
+    t = targets(per, cap, weights).select(F.col("source").alias("s_"), "source_size", "target", "n_docs", "mass", "full")
     d = base.join(t, base.source.eqNullSafe(t.s_)).drop("s_")
     # copies expected, at most cap; the whole part is certain
-    expect = F.when(F.col("mass") > 0, F.least(F.lit(float(cap)), F.col("target") * F.col("tilt") / F.col("mass"))).otherwise(0.0)
+    if tilt:
+        expect = F.when(F.col("mass") > 0, F.least(F.lit(float(cap)), F.col("target") * F.col("tilt") / F.col("mass"))).otherwise(0.0)
+    else:
+        rate = F.col("target") / F.col("source_size")
+        lean = F.least(F.lit(0.5), (cap - rate) / (2 * rate)) * (fullness(F.col("size")) / 1000 - F.col("full") / F.col("source_size") / 1000)
+        expect = F.when((F.col("source_size") > 0) & (F.col("target") > 0), F.greatest(F.lit(0.0), F.least(F.lit(float(cap)), rate * (1 + lean)))).otherwise(0.0)
     d = d.withColumn("expect", expect).withColumn("whole", F.floor("expect").cast("long")).withColumn("p", F.col("expect") - F.col("whole"))
-    u = unit(F.col("doc_id"))
+    u = F.col("u")
     odds = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
     d = d.withColumn("q", F.when((F.col("size") > 0) & (F.col("p") > 0), odds))
     bins = F.ceil(F.col("n_docs") / bin_docs)
@@ -115,11 +129,19 @@ def mix(docs: DataFrame, cap: int = 3, weights: tuple[int, ...] = (1, 2, 3), til
 
 
 def take(docs: DataFrame, cap: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
+    """The rows of ``docs``, each as often as the mix takes it.
+
+    Of rows that repeat in id, source and text, and are therefore equal to the mix, each gets its share of their copies, the first ones one more.
+    Null texts, and documents without a word, are not taken; an empty table gives no rows; other columns pass through, whatever their names.
+    """
     th = F.xxhash64("text", F.lit(3))
     m = mix(docs.select("doc_id", "source", "text", th.alias("th_")), cap, weights, id_cols=("doc_id", "th_"))
-    # rows that repeat in id and text: the copies of all are added up and given to each in turn
-    m = m.filter("copies > 0").groupBy(F.col("doc_id").alias("k_"), F.col("th_").alias("t_")).agg(F.sum("copies").alias("copies"), F.count("*").alias("n_"))
-    d = docs.withColumn("th_", th)
-    j = d.join(m, d.doc_id.eqNullSafe(m.k_) & (d.th_ == m.t_)).withColumn("each_", F.explode(F.sequence(F.lit(1), F.ceil(F.col("copies") / F.col("n_")).cast("int"))))
-    return j.select(*docs.columns)
+    m = m.groupBy("doc_id", "source", "th_").agg(F.sum("copies").alias("copies_"), F.count("*").alias("n_")).filter("copies_ > 0")
+    m = m.select(F.col("doc_id").alias("k_"), F.col("source").alias("s_"), F.col("th_").alias("t_"), "copies_", "n_")
+    d = docs.select(F.struct(*docs.columns).alias("row_"), F.col("doc_id").alias("d_"), F.col("source").alias("o_"), th.alias("h_"))
+    join = lambda m: d.join(m, d.d_.eqNullSafe(m.k_) & d.o_.eqNullSafe(m.s_) & (d.h_ == m.t_))
+    own = join(m.filter("n_ = 1")).select("row_", F.col("copies_").alias("each_"))
+    w = Window.partitionBy("k_", "s_", "t_").orderBy(F.lit(0))
+    shared = join(m.filter("n_ > 1")).select("row_", F.floor((F.col("copies_") + F.col("n_") - F.row_number().over(w)) / F.col("n_")).alias("each_"))
+    both = own.union(shared).filter("each_ > 0")
+    return both.select("row_", F.explode(F.sequence(F.lit(1), F.col("each_").cast("int")))).select("row_.*")

@@ -93,20 +93,22 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = r"""
 WITH base AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
-per AS (SELECT source, sum(size)::BIGINT AS source_size FROM base GROUP BY source),
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(text, '')) AS h FROM documents),
+per AS (SELECT source, sum(size)::BIGINT AS source_size, sum(size * (2000 * size // (size + 100)))::BIGINT AS full_words FROM base GROUP BY source),
 w AS (SELECT *, ((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::BIGINT AS w FROM per),
 l AS (SELECT *, sum(source_size) OVER () AS total,
   3 * coalesce(sum(source_size) OVER (ORDER BY 3 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
   sum(w) OVER (ORDER BY 3 * source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_rest FROM w),
 lv AS (SELECT min_by((total - capped)::DOUBLE / w_rest::DOUBLE, capped) AS lam FROM l
   WHERE (total - capped)::DOUBLE / w_rest::DOUBLE * w <= 3 * source_size),
-t AS (SELECT source, source_size, CASE WHEN 3 * source_size <= lam * w THEN (3 * source_size)::DOUBLE ELSE lam * w END AS target FROM w, lv),
+t AS (SELECT source, source_size, full_words, CASE WHEN 3 * source_size <= lam * w THEN (3 * source_size)::DOUBLE ELSE lam * w END AS target FROM w, lv),
 e AS (SELECT b.doc_id, b.source, b.size, t.source_size, t.target,
-  CASE WHEN t.source_size > 0 THEN least(3.0::DOUBLE, t.target * 1.0 / t.source_size::DOUBLE) ELSE 0 END AS expect,
-  (('0x' || substr(md5(coalesce(b.doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u
+  t.target / t.source_size::DOUBLE AS rate, (2000 * b.size // (b.size + 100))::DOUBLE / 1000.0::DOUBLE - t.full_words::DOUBLE / t.source_size::DOUBLE / 1000.0::DOUBLE AS lean,
+  (('0x' || substr(md5(coalesce(b.doc_id::VARCHAR, '') || ':' || b.h), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u
   FROM base b JOIN t ON b.source IS NOT DISTINCT FROM t.source),
-p AS (SELECT *, floor(expect)::BIGINT AS whole, expect - floor(expect) AS p FROM e),
+x AS (SELECT *, CASE WHEN source_size > 0 AND target > 0
+  THEN greatest(0.0::DOUBLE, least(3.0::DOUBLE, rate * (1 + least(0.5::DOUBLE, (3 - rate) / (2 * rate)) * lean))) ELSE 0 END AS expect FROM e),
+p AS (SELECT *, floor(expect)::BIGINT AS whole, expect - floor(expect) AS p FROM x),
 q AS (SELECT *, CASE WHEN size > 0 AND p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q,
   target - sum(whole * size) OVER (PARTITION BY source) AS quota FROM p),
 r AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM q)
