@@ -1,7 +1,7 @@
 """Near-duplicate embeddings by a forest of random-projection trees.
 
 Each tree splits the unit sphere by one random direction a level, at the median of a bounded sample that
-reached the node; vectors within a few percent of the median go down both sides (spill).
+reached the node (below the depth that the sample allows: that reached the last fitted node above); vectors within a few percent of the median go down both sides (spill).
 Trees differ in their directions, so a close pair that one tree parts is together in another.
 Vectors are compared within leaves, found pairs are verified in double precision,
 and their union over the trees gives links and components.
@@ -38,34 +38,51 @@ def unit_rows(flat: np.ndarray, dim: int) -> np.ndarray:
 
 
 class Forest:
-    """Directions [tree, level, dim]; for each tree and node (heap order) the median and the spill band."""
+    """Directions [tree, level, dim]; for each tree and node (heap order) the median and the spill band; the same for each fitted leaf and each
+    level below it, where the sample is too thin for a median a node: those levels cut all parts of a leaf at the leaf's own medians.
 
-    def __init__(self, sample: np.ndarray, trees: int, depth: int, spill: float, seed: int):
+    Made of plain arrays, which is what is broadcast.
+    """
+
+    def __init__(self, directions: np.ndarray, cuts: np.ndarray, below: np.ndarray):
+        self.directions, self.cuts, self.below = directions, cuts, below
+
+    @classmethod
+    def fit(cls, sample: np.ndarray, trees: int, depth: int, more: int, spill: float, seed: int) -> Forest:
         rng = np.random.default_rng(seed)
         dim = sample.shape[1]
-        self.depth = depth
-        self.directions = rng.standard_normal((trees, max(depth, 1), dim))
-        self.directions /= np.linalg.norm(self.directions, axis=2, keepdims=True)
-        self.cuts = np.zeros((trees, 1 << depth, 3))
+        directions = rng.standard_normal((trees, max(depth + more, 1), dim))
+        directions /= np.linalg.norm(directions, axis=2, keepdims=True)
+        cuts, below = np.zeros((trees, 1 << depth, 3)), np.zeros((trees, 1 << depth, more, 3))
+        band = [0.5, 0.5 - spill, 0.5 + spill]
         for t in range(trees):
             node = np.ones(len(sample), np.int64)
             for level in range(depth):
-                p = sample @ self.directions[t, level]
+                p = sample @ directions[t, level]
                 for k in range(1 << level, 2 << level):
                     mine = p[node == k]
-                    self.cuts[t, k] = np.quantile(mine, [0.5, 0.5 - spill, 0.5 + spill]) if len(mine) else (0.0, 0.0, 0.0)
-                node = 2 * node + (p > self.cuts[t, node, 0])
+                    cuts[t, k] = np.quantile(mine, band) if len(mine) else (0.0, 0.0, 0.0)
+                node = 2 * node + (p > cuts[t, node, 0])
+            for k in range(1 << depth if more else 0):
+                mine = sample[node == k + (1 << depth)]
+                if len(mine):
+                    below[t, k] = np.quantile(mine @ directions[t, depth:].T, band, axis=0).T
+        return cls(directions, cuts, below)
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, tree and leaf of every place a vector falls into."""
         rows, trees, nodes = [], [], []
+        depth = self.cuts.shape[1].bit_length() - 1
         for t in range(len(self.cuts)):
-            row, node = np.arange(len(x)), np.ones(len(x), np.int64)
-            for level in range(self.depth):
+            row, node, leaf = np.arange(len(x)), np.ones(len(x), np.int64), np.zeros(len(x), np.int64)
+            for level in range(depth + self.below.shape[2]):
                 p = (x @ self.directions[t, level])[row]
-                left, right = p <= self.cuts[t, node, 2], p >= self.cuts[t, node, 1]
+                if level == depth:
+                    leaf = node - (1 << depth)
+                cut = self.cuts[t, node] if level < depth else self.below[t, leaf, level - depth]
+                left, right = p <= cut[:, 2], p >= cut[:, 1]
                 # a vector outside the band goes down one side only
-                row, node = np.concatenate([row[left], row[right]]), np.concatenate([2 * node[left], 2 * node[right] + 1])
+                row, node, leaf = np.concatenate([row[left], row[right]]), np.concatenate([2 * node[left], 2 * node[right] + 1]), np.concatenate([leaf[left], leaf[right]])
             rows.append(row)
             trees.append(np.full(len(row), t))
             nodes.append(node)
@@ -104,15 +121,17 @@ def find_links(classes: DataFrame, threshold: float, trees: int, leaf: int, samp
     out = None
     for r in sizes:
         dim, n = r.dim, r.n
-        depth = max(0, min(math.ceil(math.log2(max(1, largest / leaf))), int(math.log2(max(1, sample / 8)))))
+        wanted = max(0, math.ceil(math.log2(max(1, largest / leaf))))
+        depth = min(wanted, int(math.log2(max(1, sample / 8))))
         keep = F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11).cast("double") / float(1 << 53) < min(1.0, sample / n)
         mine = classes.filter(F.size("embedding") == dim)
         rows = mine.filter(keep).orderBy("id").limit(2 * sample).select("embedding").toArrow()["embedding"].combine_chunks()
         got = unit_rows(rows.flatten().to_numpy(zero_copy_only=False), dim) if len(rows) else np.zeros((0, dim))
-        forest = spark.sparkContext.broadcast(Forest(got, trees, depth if len(got) else 0, spill, seed))
+        fitted = Forest.fit(got, trees, depth, wanted - depth, spill, seed) if len(got) else Forest.fit(got, trees, 0, 0, spill, seed)
+        forest = spark.sparkContext.broadcast((fitted.directions, fitted.cuts, fitted.below))
 
         def place(batches: Iterator[pa.RecordBatch], forest=forest, dim=dim) -> Iterator[pa.RecordBatch]:
-            f = forest.value
+            f = Forest(*forest.value)
             for batch in batches:
                 v = batch.column(2)
                 if not len(v):
@@ -146,28 +165,26 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, trees: int = 8,
     holds null or non-finite components, or whose label is null, has no links and is its own component.
     Repeated rows are vectors of their own, linked to each other.  Other columns are ignored.
 
-    ``sample`` bounds the vectors the trees' medians are fitted on (and with it the depth); all vectors are indexed.
+    The least vec_id stands for a component, so rows that repeat an id with other vectors are nodes of their own and link by their own vectors.
+    A null vec_id counts as greater than any.  An empty table gives no rows.
+
+    ``sample`` bounds the vectors the trees' medians are fitted on; all vectors are indexed, and leaves hold about ``leaf`` of them whatever their number.
     """
+    fine = usable(F.col("embedding")) & F.col("label").isNotNull()
     base = vectors.select("vec_id", "embedding", "label")
-    good = base.filter(usable(F.col("embedding")) & F.col("label").isNotNull())
-    classes = stored(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "classes")
-    # rows that repeat an id in two classes still need distinct nodes: the least id, then the vector's hash, decides
+    good = base.filter(fine).withColumn("id", F.xxhash64("label", "embedding"))
+    # nodes are classes of equal label and vector
+    classes = stored(good.groupBy("id", "label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")), "classes")
     pairs = cut(find_links(classes, threshold, trees, leaf, sample, spill, seed))
     comps = connected_components(pairs)
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    weight = classes.groupBy("id").agg(F.sum("copies").alias("copies"))
-    others = both.join(weight.select(F.col("id").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    info = (
-        classes.select("label", "embedding", "id", "copies")
-        .join(others, classes.id == others.a, "left")
-        .join(comps, classes.id == comps.node, "left")
-        .select(
-            F.col("label").alias("l_"),
-            F.col("embedding").alias("e_"),
-            (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
-            F.coalesce("component", "id").alias("component_id"),
-        )
-    )
-    j = good.join(info, (good.label == info.l_) & (good.embedding == info.e_)).select("vec_id", "n_links", "component_id")
-    rest = base.filter(~(usable(F.col("embedding")) & F.col("label").isNotNull())).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return j.union(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    own = classes.select("id", "least", "copies")
+    others = both.join(own.select(F.col("id").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
+    named = comps.select(F.col("node").alias("id"), "component").join(own.select("id", "least"), "id")
+    low = named.groupBy("component").agg(F.min("least").alias("low"))
+    of = named.join(low, "component").select("id", "low")
+    info = own.join(others.withColumnRenamed("a", "id"), "id", "left").join(of, "id", "left")
+    info = info.select("id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("low", "least").alias("component_id"))
+    j = good.select("vec_id", "id").join(info, "id").select("vec_id", "n_links", "component_id")
+    rest = base.filter(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return j.union(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -122,7 +122,8 @@ def train(docs: DataFrame, label: str = "lang", sample_chars: int = 24_000_000,
 
     ``sample_chars`` bounds what is read to learn: documents are taken by a hash of their text until about as many
     characters a run are expected, the same documents each time.  Counts are summed per partition on the executors;
-    ``max_languages`` bounds the counts (languages x buckets) that reach the driver.
+    ``max_languages`` bounds the counts (languages x buckets) that reach the driver: with more labels than that (an unlikely
+    column to learn from) it raises.  Rows may repeat, and count as often; without a labelled text the model knows no language.
     """
     d = docs.select(F.col("text"), F.col(label).alias("label")).filter("text is not null and label is not null")
     stats = d.groupBy("label").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("n")).limit(max_languages + 1).collect()
@@ -131,7 +132,6 @@ def train(docs: DataFrame, label: str = "lang", sample_chars: int = 24_000_000,
     languages = tuple(sorted(r.label for r in stats))
     if not languages:
         return LanguageModel((), np.zeros(0), np.zeros((1 << bits, 0), np.float32), orders)
-    total = sum(r.chars for r in stats)
     share = {r.label: min(1.0, sample_chars / len(stats) / max(1, r.chars)) for r in stats}
     keep = F.shiftrightunsigned(F.xxhash64("text", F.lit(17)), 11).cast("double") / float(1 << 53)
     wanted = F.lit(0.0)
@@ -159,7 +159,6 @@ def train(docs: DataFrame, label: str = "lang", sample_chars: int = 24_000_000,
     counts[tall["b"].to_numpy(), tall["k"].to_numpy()] = tall["c"].to_numpy()
     prob = (counts + alpha) / (counts.sum(axis=0) + alpha * (1 << bits))
     prior = np.array([next(r.n for r in stats if r.label == x) for x in languages], float)
-    assert total >= 0
     return LanguageModel(languages, np.log(prior / prior.sum()), np.log(prob).astype(np.float32), orders)
 
 
@@ -170,12 +169,13 @@ def predict(docs: DataFrame, model: LanguageModel, id_cols: tuple[str, ...] = ("
     without any letter is ``und`` with score 0.  Rows may repeat; each is scored by itself.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    # plain values: the class itself travels with the task
+    shared = spark.sparkContext.broadcast((model.languages, model.log_prior, model.log_prob, model.orders))
     lean = docs.select(*id_cols, F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("text"))
     n = len(id_cols)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = LanguageModel(*shared.value)
         for batch in batches:
             texts = batch.column(n).to_pylist()
             langs = np.full(len(texts), "und", dtype=object)
