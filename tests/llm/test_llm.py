@@ -157,10 +157,11 @@ def one_edit(a, b):
     return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
 
-def test_lines_match_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("least", [16, 0])
+def test_lines_match_brute_force(spark, least, monkeypatch):
     monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
     rng = random.Random(3)
-    lines = [say(rng, 6) for _ in range(25)] + ["short", "", "x" * 3000]
+    lines = [say(rng, 6) for _ in range(25)] + ["short", "", "x" * 3000, "a\0b\0c and a \U0001f600 more", "long enough, aaaaaab"]
     rows = []
     for i in range(40):
         part = []
@@ -168,19 +169,19 @@ def test_lines_match_brute_force(spark, monkeypatch):
             s = rng.choice(lines)
             if rng.random() < 0.4 and s:
                 k = rng.randrange(len(s))
-                s = rng.choice([s[:k] + s[k + 1 :], s[:k] + "é" + s[k:], s[:k] + "z" + s[k + 1 :]])
+                s = rng.choice([s[:k] + s[k + 1 :], s[:k] + "é" + s[k:], s[:k] + rng.choice("zyxw日") + s[k + 1 :]])
             part.append(rng.choice(["", "  "]) + s)
         rows.append((i, "\n".join(part), "x", i))
     rows += [(90, None, "x", 0), (91, "", "x", 0), (92, rows[0][1], None, 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, drop string, l_ int").repartition(3)
     every = [(i, n, raw, raw.strip(" \t\r\x0b\x0c")) for i, t, *_ in rows if t is not None for n, raw in enumerate(t.split("\n"))]
-    judged = sorted((i, n, s) for i, n, _, s in every if len(s) >= 16)
+    judged = sorted((i, n, s) for i, n, _, s in every if len(s) >= least)
     first = {}
     for i, n, s in judged:
         first.setdefault(s, (i, n))
     near = {a for a in first for b in first if a != b and first[b] < first[a] and one_edit(a, b)}
     gone = {(i, n) for i, n, s in judged if (i, n) > first[s] or s in near}
-    got = {r.doc_id: (r.text, r.n_lines, r.n_removed, r["drop"], r.l_) for r in line_dedup.dedup_lines(docs).collect()}
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed, r["drop"], r.l_) for r in line_dedup.dedup_lines(docs, min_chars=least).collect()}
     for i, t, d, x in rows:
         kept = None if t is None else "\n".join(raw for n, raw in enumerate(t.split("\n")) if (i, n) not in gone)
         n = 0 if t is None else t.count("\n") + 1
@@ -221,6 +222,38 @@ def test_mix_targets_and_quota(spark):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+def test_inclusion_follows_the_expected_copies(spark):
+    rng = random.Random(14)
+    rows = [(i, say(rng, 20 if i % 2 else 300), "a" if i < 3000 else "b") for i in range(4500)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for source, n in (("a", 3000), ("b", 1500)):
+        some = [r for r in got if r.source == source]
+        size, rate = some[0].source_size, some[0].target / some[0].source_size
+        full = sum(r["size"] * (2000 * r["size"] // (r["size"] + 100)) for r in some) / size
+        for words in (20, 300):
+            kind = [r.copies for r in some if r["size"] == words]
+            want = rate * (1 + min(0.5, (3 - rate) / (2 * rate)) * (2000 * words // (words + 100) - full) / 1000)
+            assert sum(kind) / len(kind) == pytest.approx(want, abs=0.06), (source, words)
+            assert set(kind) <= {int(want), int(want) + 1}
+    # the lean is real
+    short, long = ([r.copies for r in got if r.source == "a" and r["size"] == w] for w in (20, 300))
+    assert sum(long) / len(long) > 1.2 * sum(short) / len(short)
+
+
+def test_take_gives_repeated_rows_their_share(spark):
+    rows = [(1, "a b c d", "s", k) for k in range(5)] + [(2, "e f", "s", 0), (3, None, "s", 0), (4, "g h i", None, 1), (1, "a b c d", "t", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, th_ int").withColumn("each_", F.lit("x")).withColumn("row_", F.lit(1))
+    m = mixing.mix(docs).collect()
+    got = mixing.take(docs)
+    assert got.columns == docs.columns
+    kept = Counter((r.doc_id, r.source, r.th_) for r in got.collect())
+    for key in {(r.doc_id, r.source) for r in m}:
+        total = sum(r.copies for r in m if (r.doc_id, r.source) == key and r["size"])
+        each = [n for (i, s, _), n in kept.items() if (i, s) == key]
+        assert sum(each) == total and (not each or max(each) - min(each) <= 1)
+    assert mixing.take(docs.limit(0)).count() == 0
+
+
 def test_pareto_tilt_raises_inclusion(spark):
     rows = [(i, "a b c d e", "s", 4.0 if i % 2 else 1.0) for i in range(2000)] + [(i, "a b c d e", "t", 1.0) for i in range(2000, 2500)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, q double"), tilt="q").filter("source = 's'").collect()
@@ -578,6 +611,29 @@ def test_embeddings(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(v.limit(0)).count() == 0
 
 
+def test_embeddings_with_repeated_and_null_ids(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.001], 0), (3, [0.001, 1.0], 0), (5, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (None, [0.5, 0.5], 2), (None, [-1.0, 0.5], 2), (9, [0.5, 0.5], 2)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(
+        map(str, [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (5, 1, 1, False), (1, 1, 1, True), (None, 1, 9, False), (None, 0, None, True), (9, 1, 9, True)])
+    )
+
+
+def test_forest_leaves_stay_small_whatever_the_sample(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((20_000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    f = embedding_dedup.Forest.fit(x[:256], 8, 5, 5, 0.04, 1)
+    row, tree, node = f.leaves(x)
+    assert np.unique(row).size == len(x) and np.bincount(node[tree == 0]).max() <= 300
+    near = x + 0.02 * rng.standard_normal(x.shape)
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    row2, tree2, node2 = f.leaves(near)
+    both = set(zip(row.tolist(), tree.tolist(), node.tolist())) & set(zip(row2.tolist(), tree2.tolist(), node2.tolist()))
+    close = np.flatnonzero((x * near).sum(axis=1) >= 0.98)
+    assert len(close) > 10_000 and np.isin(close, [r for r, _, _ in both]).mean() >= 0.9
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as P
 
