@@ -1,7 +1,8 @@
 """Document fingerprints from closed syncmers (DataFrame functions only).
 
-A text is cut into tokens by a rule that looks two characters ahead: a vowel takes up to two other characters before it, any other
-character stands alone, white space separates.  Of the K-token windows those are chosen whose least inner token (by hash) stands
+A text is cut into tokens by a rule that looks at most ``WORD_CHARS`` characters around: a run of Latin letters and digits that is no longer is
+one; in longer ones a vowel takes up to two letters before it; any other character stands alone (so do those of scripts without
+spaces), and white space separates.  Of the K-token windows those are chosen whose least inner token (by hash) stands
 at an edge.  Whether a window is chosen depends on its own tokens only, so an edit changes only windows that it touches, in
 text with or without spaces: the anchors of a common passage are common, at equal distances.
 
@@ -17,10 +18,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-K, SKETCH, BAND = 5, 64, 16
+K, SKETCH, BAND, WORD_CHARS = 3, 64, 16, 16
 _HASH, _POS = 8, 6
-_VOWELS = "aeiouyAEIOUYàáâãäåæèéêëìíîïòóôõöøùúûüÀÁÂÃÄÅÆÈÉÊËÌÍÎÏÒÓÔÕÖØÙÚÛÜ"
-TOKEN = rf"[^\x20\x09-\x0D{_VOWELS}]{{0,2}}[{_VOWELS}]|[^\x20\x09-\x0D]"
+# classes are written out: a regular expression tests single Latin-1 characters by a bit, ranges one after the other
+_SPACE, _VOWELS = r" \t\n\x0B\f\r", "aeiouyAEIOUYàáâãäåæèéêëìíîïòóôõöøùúûüÀÁÂÃÄÅÆÈÉÊËÌÍÎÏÒÓÔÕÖØÙÚÛÜ"
+_LETTERS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
+_OTHERS = "".join(c for c in _LETTERS if c not in _VOWELS)
+TOKEN = rf"(?<![{_LETTERS}])[{_LETTERS}]{{1,{WORD_CHARS}}}+(?![{_LETTERS}])|[{_OTHERS}]{{0,2}}[{_VOWELS}]|[^{_SPACE}]"
 
 
 def _let(x: Column, f: Callable[[Column], Column]) -> Column:
@@ -37,7 +41,7 @@ def _chosen(h: Column, k: int) -> Column:
     n = F.size(h)
     names = [str(j) for j in range(k)]
     windows = F.arrays_zip(F.sequence(F.lit(0), n - k).alias("pos"), *[F.slice(h, j + 1, n - k + 1).alias(str(j)) for j in range(k)])
-    edge = lambda w: F.least(w[names[0]], w[names[-1]]) <= F.least(*[w[j] for j in names[1:-1]])
+    edge = lambda w: F.least(w[names[0]], w[names[-1]]) == F.least(*[w[j] for j in names])
     some = F.transform(F.filter(windows, edge), lambda w: F.struct(w["pos"].alias("pos"), F.xxhash64(*[w[j] for j in names]).alias("hash")))
     one = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(h).alias("hash")))
     return F.when(n == 0, F.slice(one, 1, 0)).when(n < k, one).otherwise(some)

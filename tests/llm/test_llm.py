@@ -507,11 +507,32 @@ def test_near_passages_recall(spark, bucket, monkeypatch):
 
 
 def tokens_of(t):
-    v = fingerprints._VOWELS
-    return re.findall(rf"[^ \t\n\v\f\r{v}]{{0,2}}[{v}]|[^ \t\n\v\f\r]", t)
+    """The rule by itself: character classes, then runs."""
+    vowel = set(fingerprints._VOWELS)
+    letter = {c for c in map(chr, range(256)) if c.isascii() and c.isalnum() or c in "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"}
+    out, i = [], 0
+    while i < len(t):
+        if t[i] in " \t\n\v\f\r":
+            i += 1
+        elif t[i] not in letter:
+            out.append(t[i])
+            i += 1
+        else:
+            j = i
+            while j < len(t) and t[j] in letter:
+                j += 1
+            if j - i <= 16:
+                out.append(t[i:j])
+                i = j
+            while i < j:
+                n = next((k for k in range(3) if i + k < j and t[i + k] in vowel), None)
+                n = 1 if n is None else n + 1
+                out.append(t[i : i + n])
+                i += n
+    return out
 
 
-def sketch_of(t, k=5):
+def sketch_of(t, k=3):
     """The fingerprint, computed by itself: closed syncmers over token hashes, least 64 with their first places."""
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     h = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in tokens_of(t)]
@@ -713,12 +734,12 @@ def test_fingerprints_are_free_of_context(spark):
     texts = [say(rng, 170) for _ in range(8)]
     han = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(1200)) for _ in range(4)]
     code = ["".join(rng.choice("bcdfghjklm0123456789aeXYZ+/=") for _ in range(1200)) for _ in range(4)]
-    pairs = [(t[:n], t[: n + 1], 0.9) for t in texts + han + code for n in (200, 400, 800) if len(t) > n]
+    pairs = [(t[:n], t[: n + 1], 0.9) for t in texts + han + code for n in (400, 800) if len(t) > n]
     pairs += [("字" + t, t, 0.95) for t in han] + [("q" + t, t, 0.95) for t in texts + code] + [(t[:600] + "字" + t[600:], t, 0.8) for t in han + code]
     pairs += [(t[400:] + t[:400], t, 0.7) for t in texts + han] + [("x" * 400, "x" * 401, 1.0)]
     d = spark.createDataFrame(pairs, "a string, b string, least double")
     like = lambda d: d.select("*", fingerprints.likeness(fingerprints.fingerprint(F.col("a")), fingerprints.fingerprint(F.col("b"))).alias("x"))
-    assert like(d).filter("x < least").count() == 0
+    assert [(r.a[:20], len(r.a), r.x, r.least) for r in like(d).filter("x < least").collect()] == []
     # texts of unlike words, and unlike texts of the same few syllables
     far = spark.createDataFrame([(a, b) for a, b in zip(han, han[1:])] + [(a, b) for a, b in zip(code, code[1:])], "a string, b string")
     assert like(far).filter("x > 0.05").count() == 0
