@@ -1,16 +1,15 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text.
+zstandard trains two dictionaries, one on toxic and one on ordinary text.
 Each window of a text is compressed with both; where the toxic
 dictionary makes it shorter, the window speaks for toxicity.
 
-Labels hold for whole documents and most of a toxic document is ordinary, so
-plain training would give two nearly equal dictionaries whose difference is noise.
-Training is therefore contrastive: byte n-grams whose document frequencies differ between the
-classes beyond chance (likelihood ratio) and by far mark segments.  The toxic dictionary holds these
-segments, then the one trained on ordinary text; both end in a marker that ends every window
-(so that either compressor writes at least one sequence and a further match costs two or three bytes).
-A window without such segments compresses to the same length with either dictionary.
+Labels hold for whole documents and most of a toxic document is ordinary, so dictionaries trained on all of either class are
+nearly equal and differ by noise.  What the toxic dictionary is trained on is therefore chosen: the parts of words in toxic documents that are made of byte n-grams
+whose document frequencies differ between the classes beyond chance (likelihood ratio) and by far.  The ordinary dictionary is trained
+on windows spread evenly over the ordinary texts.  The ordinary one's content also follows the toxic one's own, at the same
+distances (the trainer runs again on parts it left out), and a marker ends both and every window (so that either compressor writes at least one sequence and a further
+match costs two or three bytes): a window without toxic parts compresses to the same length with either.
 """
 
 from __future__ import annotations
@@ -29,6 +28,7 @@ from pyspark.sql import functions as F
 from polyloom.llm.common import cut
 
 WINDOW, OVERLAP, GRAM = 64, 16, 5
+_OFFSETS = bytes([1, 0, 0, 0, 4, 0, 0, 0, 8, 0, 0, 0])
 MARK = bytes([1, 2, 3, 4, 5, 6, 7, 8, 14, 15, 16, 17])
 
 
@@ -56,7 +56,7 @@ class Distance:
     def __init__(self, toxic: bytes, ordinary: bytes):
         # literals are stored as they are (fast strategy with a target length), so lengths differ by matches alone
         p = zstandard.ZstdCompressionParameters(
-            window_log=16, hash_log=15, min_match=GRAM, strategy=zstandard.STRATEGY_FAST, target_length=1, write_content_size=0, write_checksum=0, write_dict_id=0
+            window_log=16, hash_log=17, min_match=GRAM, strategy=zstandard.STRATEGY_FAST, target_length=1, write_content_size=0, write_checksum=0, write_dict_id=0
         )
         self.toxic, self.ordinary = (
             zstandard.ZstdCompressor(compression_params=p, dict_data=zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for c in (toxic, ordinary)
@@ -126,12 +126,10 @@ def _telling(own: tuple, other: tuple, n_own: int, n_other: int, least_g2: float
     return keys[(g2 > least_g2) & (counts / n_own > least_lift * (there + 0.5) / n_other)]
 
 
-def _segments(texts: list[bytes], telling: np.ndarray, capacity: int) -> bytes:
-    """Parts of words covered by telling n-grams, with a space before those that begin a word; the commonest last."""
-    if not len(telling):
-        return b""
-    seen: Counter[bytes] = Counter()
-    for t in texts:
+def _parts(texts: list[bytes], telling: np.ndarray) -> list[bytes]:
+    """Every part of a word covered by telling n-grams, with a space before those that begin a word and a zero byte after."""
+    out: list[bytes] = []
+    for t in texts if len(telling) else []:
         g = _grams(t)
         pos = np.searchsorted(telling, g)
         pos[pos == len(telling)] = 0
@@ -145,61 +143,92 @@ def _segments(texts: list[bytes], telling: np.ndarray, capacity: int) -> bytes:
                 if lo + m.start() > 0 and t[lo + m.start() - 1 : lo + m.start()].isspace():
                     part = b" " + part
                 if len(part) >= GRAM:
-                    seen[part] += 1
-    out: list[bytes] = []
-    size = 0
-    for part, n in sorted(seen.items(), key=lambda x: (-x[1], x[0])):
-        if n < 3 or size + len(part) + 1 > capacity:
+                    out.append(part + b"\x00")
+    return out
+
+
+def _dictionary(samples: list[bytes], capacity: int) -> bytes:
+    """A dictionary trained by zstandard; of samples that are too few to train on, those seen most often."""
+    try:
+        # the content follows the entropy tables, which end in three repeat offsets
+        return zstandard.train_dictionary(capacity, samples).as_bytes().partition(_OFFSETS)[2]
+    except zstandard.ZstdError:
+        often = sorted(Counter(samples).items(), key=lambda x: (x[1], x[0]))
+        return b"".join(s for s, n in often if n > 2)[-capacity:]
+
+
+def _in_rounds(parts: list[bytes], capacity: int) -> bytes:
+    """The trainer keeps a few segments of what it is given, so it is run again on the parts that its dictionary lacks."""
+    out, left = b"", parts
+    while left and capacity - len(out) >= 256:
+        out = _dictionary(left, capacity - len(out)) + out
+        lacking = {p for p in set(left) if p[:-1] not in out}
+        rest = [p for p in left if p in lacking]
+        if len(rest) == len(left):
+            often = sorted(Counter(rest).items(), key=lambda x: (x[1], x[0]))
+            out = b"".join(s for s, n in often if n > 2)[-(capacity - len(out)) :] + out
             break
-        out.append(part)
-        size += len(part) + 1
-    return b"\x00".join(reversed(out))
+        left = rest
+    # the compressor indexes every third place of a dictionary: thrice, at all three remainders, no part is missed
+    return b"".join(out + b"\x00" * (1 + (-len(out)) % 3) for _ in range(3))
+
 
+def fit(toxic: list[bytes], ordinary: list[bytes], capacity: int = 4096, common: int = 512, sample_windows: int = 20_000, least_g2: float = 30.0, least_lift: float = 4.0) -> ToxicityModel:
+    """Train both dictionaries and calibrate their gains with a logistic regression of four weights.
 
-def fit(toxic: list[bytes], ordinary: list[bytes], capacity: int = 8192, common: int = 512, least_g2: float = 30.0, least_lift: float = 4.0) -> ToxicityModel:
-    """Train both dictionaries and calibrate their gains with a logistic regression of four weights."""
+    ``sample_windows`` bounds the windows the ordinary dictionary is trained on, every n-th of all of them.
+    """
     if not toxic or not ordinary:
         return ToxicityModel(MARK, MARK, (-4.0, 0.0, 0.0, 0.0))
     ct, co = _document_counts(toxic), _document_counts(ordinary)
-    seg_t = _segments(toxic, _telling(ct, co, len(toxic), len(ordinary), least_g2, least_lift), capacity)
-    pool = [w for t in ordinary[:400] for w in windows(t)[:8]]
-    base = zstandard.train_dictionary(8192, pool).as_bytes()[-common:] if len(pool) > 200 else b""
-    # The ordinary dictionary is what training on ordinary text yields.  The toxic one has it too, behind its own segments; the
-    # other is padded to the same width, so that shared text lies at equal distances.  Segments of the ordinary
-    # class would only push shared text out of the compressor's hash table and make gains of ordinary windows.
-    width = max(len(seg_t), 64)
-    dict_t, dict_o = (b"\x00" * (width - len(s)) + s + base + MARK for s in (seg_t, b""))
+    parts = _parts(toxic, _telling(ct, co, len(toxic), len(ordinary), least_g2, least_lift))
+    own = _in_rounds(parts, capacity)
+    total = sum(-(-len(t) // WINDOW) for t in ordinary)
+    step = -(-total // sample_windows)
+    pool = [w for k, w in enumerate(w for t in ordinary for w in windows(t)) if k % step == 0] if total else []
+    base = _dictionary(pool, 8192)[-common:]
+    dict_t, dict_o = (s + base + MARK for s in (own, b"\x00" * len(own)))
     d = Distance(dict_t, dict_o)
     x = np.array([features(d.gains(t)) for t in [*toxic, *ordinary]])
     y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
-    w = np.zeros(x.shape[1])
-    for _ in range(30):
-        p = logistic(x, tuple(w))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(x.shape[1])
-        w = w + np.linalg.solve(h, x.T @ (y - p) - 1e-2 * w)
-    # move the border 0.5 to where the harmonic mean of recall and precision is best, the classes weighed as sampled
-    z = np.sort(x @ w)
+    # a gain never speaks against toxicity: features whose weight would be negative are left out
+    w, used = np.zeros(x.shape[1]), np.arange(x.shape[1])
+    while True:
+        v, z = np.zeros(len(used)), x[:, used]
+        for _ in range(30):
+            p = logistic(z, tuple(v))
+            h = (z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(len(used))
+            v = v + np.linalg.solve(h, z.T @ (y - p) - 1e-2 * v)
+        if len(used) == 1 or v[1:].min() >= 0:
+            break
+        used = np.delete(used, 1 + int(v[1:].argmin()))
+    w[used] = v
+    # move the border 0.5 to where the harmonic mean of recall and precision is best; equal scores fall on one side of it
     order = np.argsort(-(x @ w), kind="stable")
-    hits = np.cumsum(y[order])
+    down, hits = (x @ w)[order], np.cumsum(y[order])
     f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    k = int(f1.argmax())
-    down = z[::-1]
-    w[0] -= (down[k] + down[min(k + 1, len(down) - 1)]) / 2
+    ends = np.flatnonzero(np.append(down[1:] < down[:-1], True))
+    k = int(ends[f1[ends].argmax()])
+    w[0] -= (down[k] + down[k + 1]) / 2 if k + 1 < len(down) else down[k] - 1e-6
     return ToxicityModel(dict_t, dict_o, tuple(map(float, w)))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000, max_chars: int = 1_000_000) -> ToxicityModel:
-    """Learn from ``text`` of ``docs`` and ``toxic`` (0/1) of ``labels`` with the same doc_id.
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000, sample_chars: int = 1 << 18) -> ToxicityModel:
+    """Learn from ``text`` of ``docs`` and ``toxic`` (0/1) of ``labels`` with the same doc_id; rows without a label or text teach nothing.
 
-    ``sample_docs`` bounds the labelled documents taken of either class, by a hash of their id, the same each time; those of over
-    ``max_chars`` characters are left out of training.  Only the sampled ids (two times that bound at most) are broadcast,
-    so no text is shuffled but the sample, which one task fits the model on; the driver gets the dictionaries alone.
+    ``sample_docs`` bounds the labelled documents taken of either class, by a hash of their id, the same each time; of one with over
+    ``sample_chars`` characters 64 pieces spread over the whole text, so many in sum, are read.  Only the sampled ids (two times the bound at most) are
+    broadcast, so no text is shuffled but the sample, which one task fits the model on; the driver gets the dictionaries alone.  Documents that
+    repeat a text count once; one that has both labels counts for either.  Without labels of both kinds nothing is toxic.
     """
     each = [
         labels.filter(F.col("toxic") == k).select("doc_id", "toxic").distinct().orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample_docs) for k in (1, 0)
     ]
     picked = cut(each[0].union(each[1]))
-    texts = docs.select("doc_id", "text").filter("text is not null").filter(F.char_length("text") <= max_chars)
+    size, piece = F.char_length("text"), sample_chars // 64
+    place = lambda i: (i * (size - piece) / 63).cast("int") + 1
+    spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.substring(F.col("text"), place(i), F.lit(piece))), " ")
+    texts = docs.filter("text is not null").select("doc_id", F.when(size > sample_chars, spread).otherwise(F.col("text")).alias("text"))
     sample = texts.join(F.broadcast(picked), "doc_id").select("text", "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +244,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000, max_chars
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``id_cols`` and ``score`` (0 to 1) of every row's whole text; null and empty texts have no evidence and score low."""
+    """``id_cols`` and ``score`` (0 to 1) of every row's whole text.
+
+    Null and empty texts have no evidence and score low.  Very long texts are read whole, a window at a time.  Rows may repeat, each is scored by itself; equal
+    texts score equally.  An empty table gives no rows; other columns are ignored, whatever their names.
+    """
     n = len(id_cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

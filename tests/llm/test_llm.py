@@ -359,6 +359,13 @@ def test_toxicity(spark):
     assert sum((got[i][0] >= 0.5) == (i % 4 == 0) for i in test) >= 0.95 * len(test)
     assert got[950][0] < 0.5 and got[951][0] < 0.5 and len(got[952]) == 2 and min(got[952]) >= 0.5
     assert all(0 <= s <= 1 for v in got.values() for s in v)
+    # long texts are read whole, in training too
+    filler = say(rng, 30_000)
+    long = docs.select("doc_id", F.when(F.col("doc_id") == 4, F.concat(F.lit(filler), F.lit(" zorgblat hendwif vuxkrim " * 40), F.lit(filler))).otherwise(F.col("text")).alias("text"), F.lit(1).alias("score"))
+    scores = {r.doc_id: r.score for r in toxicity.score(long, model).filter("doc_id in (4, 5)").collect()}
+    assert scores[4] >= 0.5 > scores[5]
+    again = toxicity.train(long.repartition(5), lab, sample_chars=1 << 14)
+    assert toxicity.score(docs, again).filter("doc_id < 900").select(F.sum(((F.col("score") >= 0.5) == (F.col("doc_id") % 4 == 0)).cast("int"))).first()[0] >= 855
     plain = toxicity.train(docs, lab.limit(0))
     assert toxicity.score(docs, plain).filter("score >= 0.5").count() == 0
     assert toxicity.score(empty(spark), model).count() == 0
