@@ -23,6 +23,10 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _unsettled(what: str, rounds: int) -> RuntimeError:
+    return RuntimeError(f"{what} did not settle in {rounds} rounds")
+
+
 def nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct()
 
@@ -120,7 +124,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 20, tole
     return r.select(F.col("id").alias("node_id"), "rank")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(node_id, component_id): the least node of each weakly connected component (least labels spread, with pointer jumping)."""
     e = _cut(undirected(edges))
     lab = _cut(nodes(edges).withColumn("c", F.col("id")))
@@ -133,6 +137,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         lab = nxt.select("id", "c")
         if not changed:
             break
+    else:
+        raise _unsettled("components", max_rounds)
     return lab.select(F.col("id").alias("node_id"), F.col("c").alias("component_id"))
 
 
@@ -179,8 +185,8 @@ def clustering(edges: DataFrame) -> DataFrame:
     return t.select("node_id", F.when(F.col("k") >= 2, 2 * F.col("triangles") / (F.col("k") * (F.col("k") - 1))).otherwise(0.0).alias("coefficient"))
 
 
-def sssp(edges: DataFrame, source, max_rounds: int = 100) -> DataFrame:
-    """(node_id, distance) by weight (1 if there is no such column); unreachable nodes have infinity."""
+def sssp(edges: DataFrame, source, max_rounds: int = 100_000) -> DataFrame:
+    """(node_id, distance) by weight (1 if there is no such column); unreachable nodes have infinity.  A cycle of negative weight raises."""
     w = F.coalesce(F.col("weight"), F.lit(1.0)) if "weight" in edges.columns else F.lit(1.0)
     e = _cut(edges.select("src", "dst", w.cast("double").alias("w")).groupBy("src", "dst").agg(F.min("w").alias("w")))
     ids = nodes(edges)
@@ -194,10 +200,12 @@ def sssp(edges: DataFrame, source, max_rounds: int = 100) -> DataFrame:
         d = _cut(d.join(got, d.id == got.dst, "left").select("id", F.least("d", F.coalesce("g", inf)).alias("d"), (F.coalesce("g", inf) < F.col("d")).alias("new")))
         if d.filter("new").isEmpty():
             break
+    else:
+        raise _unsettled("sssp", max_rounds)
     return d.select(F.col("id").alias("node_id"), F.col("d").alias("distance"))
 
 
-def kcore(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def kcore(edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
     """(node_id, coreness): each node takes the largest h with h neighbours of at least h, until nothing changes."""
     e = _cut(undirected(edges))
     k = e.groupBy(F.col("src").alias("id")).agg(F.count("*").cast("int").alias("k"))
@@ -213,18 +221,21 @@ def kcore(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         k = nxt.select("id", "k")
         if done:
             break
+    else:
+        raise _unsettled("kcore", max_rounds)
     return k.select(F.col("id").alias("node_id"), F.col("k").alias("coreness"))
 
 
-def distances(edges: DataFrame, max_depth: int = 50, sources: DataFrame | None = None) -> DataFrame:
-    """(source, id, depth) for all pairs reachable along undirected edges; give ``sources`` (id) to sample large graphs."""
+def distances(edges: DataFrame, max_depth: int | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """(source, id, depth) for all pairs reachable along undirected edges (within ``max_depth`` steps, if given); give ``sources`` (id) to sample large graphs."""
     e = _cut(undirected(edges))
     ids = sources if sources is not None else nodes(edges)
     seen = _cut(ids.select(F.col("id").alias("source"), F.col("id"), F.lit(0).alias("depth")))
-    front = seen
-    for k in range(1, max_depth + 1):
+    front, depth = seen, 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         nxt = front.join(e, front.id == e.src).select("source", F.col("dst").alias("id")).distinct()
-        front = _cut(nxt.join(seen, ["source", "id"], "left_anti").withColumn("depth", F.lit(k)))
+        front = _cut(nxt.join(seen, ["source", "id"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
         seen = _cut(seen.unionByName(front.select("source", "id", "depth")))

@@ -84,15 +84,25 @@ def _occurrences(tokens: str, term: str) -> Column:
     return F.size(F.filter(tokens, lambda x: x == term))
 
 
-def bm25(docs: DataFrame, key: str, text: str, terms: list[str], mode: str = "or", analyzer: str = "simple") -> DataFrame:
-    """key, score of the documents with any (or all) of the terms.
+def _quoted(term: str) -> str:
+    """A term as a literal part of a regular expression."""
+    return "\\Q" + term.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
+def bm25(docs: DataFrame, key: str, text: str, terms: list[str], mode: str = "and", analyzer: str = "simple") -> DataFrame:
+    """key, score of the documents with all (mode ``or``: any) of the terms.
 
     Documents without any term drop out before anything is grouped: each keeps its length and the counts of the query's terms,
     so the only exchange is that of the totals (one row a task).
     """
-    tokens = docs.select(key, ANALYZERS[analyzer](F.col(text)).alias("t_"))
-    tf = [_occurrences("t_", t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    d = tokens.select(key, F.size("t_").alias("dl"), *tf)
+    if analyzer == "simple":
+        # runs of letters and digits are counted where they stand: no list of tokens is made
+        low = F.lower(F.coalesce(F.col(text), F.lit("")))
+        tf = [F.regexp_count(low, F.lit(rf"(?<![\p{{L}}\p{{N}}]){_quoted(t)}(?![\p{{L}}\p{{N}}])")).alias(f"tf{i}") for i, t in enumerate(terms)]
+        d = docs.select(key, F.regexp_count(low, F.lit(r"[\p{L}\p{N}]+")).alias("dl"), *tf)
+    else:
+        tokens = docs.select(key, ANALYZERS[analyzer](F.col(text)).alias("t_"))
+        d = tokens.select(key, F.size("t_").alias("dl"), *[_occurrences("t_", t).alias(f"tf{i}") for i, t in enumerate(terms)])
     stats = d.agg(F.count("*").alias("n_"), F.avg("dl").alias("avgdl_"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     d = d.crossJoin(F.broadcast(stats))  # one row of totals
     score, found = F.lit(0.0), F.lit(0)
@@ -129,5 +139,5 @@ def ranked(df: DataFrame, order: list[Column], k: int) -> DataFrame:
 
 
 def highlight(text: Column, terms: list[str], before: str = "<b>", after: str = "</b>") -> Column:
-    pattern = "(?iu)(?<![\\p{L}\\p{N}])(" + "|".join(terms) + ")(?![\\p{L}\\p{N}])"
+    pattern = "(?iu)(?<![\\p{L}\\p{N}])(" + "|".join(map(_quoted, terms)) + ")(?![\\p{L}\\p{N}])"
     return F.regexp_replace(text, pattern, f"{before}$1{after}")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from polyloom.operators import graph as G
 from polyloom.plans.match import match
 from polyloom.queries import query
-from polyloom.session import load, sql
+from polyloom.session import load
 
 # a small directed graph over nations, by arithmetic on the keys, with two labels
 _E = "SELECT n_nationkey AS src, 'near' AS label, (n_nationkey * 7 + 3) % 25 AS dst, (n_nationkey % 5 + 1)::DOUBLE AS weight FROM nation UNION ALL SELECT n_nationkey, 'far', (n_nationkey * 11 + 1) % 25, (n_nationkey % 3 + 2)::DOUBLE FROM nation WHERE n_nationkey % 2 = 0"
@@ -56,12 +56,45 @@ _small("n18_kcore", None, G.kcore)
 _small("n20_statistics", f"WITH {_U} SELECT label, count(*) AS edges, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets, round(count(*)::DOUBLE / (SELECT count(*) FROM e), 9) AS selectivity FROM e GROUP BY label", lambda e: G.statistics(e).withColumn("selectivity", F.round("selectivity", 9)))
 _small("n1_put_delete", f"WITH {_U} SELECT src, label, dst FROM e WHERE NOT (src = 0 AND label = 'near') UNION ALL SELECT 100, 'new', 101", lambda e: G.put_edges(G.delete_edges(e, e.filter("src = 0 and label = 'near'").select("src", "label", "dst")), e.sparkSession.createDataFrame([(100, "new", 101)], "src int, label string, dst int")).select("src", "label", "dst"))
 
-_TRADE = "(SELECT DISTINCT o.o_custkey AS src, l.l_suppkey AS dst FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE o.o_custkey < 60)"
+# customers (even ids) and the suppliers (odd ids) of what they ordered: the whole of orders and lineitem
+_TRADE = "e AS (SELECT DISTINCT o.o_custkey * 2 AS src, l.l_suppkey * 2 + 1 AS dst FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e)"
 
 
-@query("n14_trade_degree", f"SELECT src AS id, count(*) AS k FROM {_TRADE} t GROUP BY src")
+def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, l = load(spark, sf_dir, "orders"), load(spark, sf_dir, "lineitem")
+    return o.join(l, o.o_orderkey == l.l_orderkey).select((F.col("o_custkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst")).distinct()
+
+
+@query("n14_trade_degree", f"WITH {_TRADE} SELECT v.id AS node_id, round(count(*)::DOUBLE / (SELECT count(*) - 1 FROM v), 9) AS centrality FROM v JOIN (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) x USING (id) GROUP BY v.id")
 def trade_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sql(spark, sf_dir, f"SELECT src AS id, count(*) AS k FROM {_TRADE} t GROUP BY src")
+    return G.degree(trade(spark, sf_dir)).select("node_id", F.round("centrality", 9).alias("centrality"))
+
+
+_TRADE_RANKS = ", r0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM v) AS rank FROM v), g AS (SELECT src, count(*) AS deg FROM e GROUP BY src)" + "".join(
+    f", r{i + 1} AS MATERIALIZED (SELECT v.id, (0.15::DOUBLE + 0.85::DOUBLE * (SELECT coalesce(sum(rank), 0) FROM r{i} WHERE id NOT IN (SELECT src FROM g))) / (SELECT count(*) FROM v) + 0.85::DOUBLE * coalesce(s.s, 0) AS rank"
+    f" FROM v LEFT JOIN (SELECT e.dst, sum(r.rank / g.deg) AS s FROM e JOIN g USING (src) JOIN r{i} r ON r.id = e.src GROUP BY e.dst) s ON s.dst = v.id)"
+    for i in range(20)
+)
+
+
+@query("n6_trade_pagerank", f"WITH {_TRADE}{_TRADE_RANKS} SELECT id AS node_id, round(rank, 9) AS rank FROM r20")
+def trade_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.pagerank(trade(spark, sf_dir), tolerance=0).select("node_id", F.round("rank", 9).alias("rank"))
+
+
+@query("n3_trade_bfs", f"WITH RECURSIVE {_TRADE}, u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), b(id, depth) AS (SELECT 2, 0 UNION SELECT u.b, b.depth + 1 FROM b JOIN u ON u.a = b.id WHERE b.depth < 3) SELECT id, min(depth) AS depth FROM b GROUP BY id")
+def trade_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.bfs(trade(spark, sf_dir), [2], 3, "both")
+
+
+@query("n7_trade_components")
+def trade_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.components(trade(spark, sf_dir))
+
+
+@query("n18_trade_kcore")
+def trade_kcore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.kcore(trade(spark, sf_dir))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -15,8 +15,8 @@ same("p1_projection", "SELECT n_name, n_regionkey FROM nation")
 same("p2_computed", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge FROM lineitem")
 same(
     "p3_arithmetic",
-    "SELECT l_orderkey, l_linenumber, l_quantity + 1 AS a, l_quantity - 1 AS b, l_quantity * 2 AS c, try_divide(l_quantity, l_linenumber - 1) AS d, try_mod(l_linenumber, l_linenumber - 1) AS e FROM lineitem WHERE l_orderkey < 500",
-    "SELECT l_orderkey, l_linenumber, l_quantity + 1 AS a, l_quantity - 1 AS b, l_quantity * 2 AS c, l_quantity / nullif(l_linenumber - 1, 0) AS d, (l_linenumber % nullif(l_linenumber - 1, 0))::INTEGER AS e FROM lineitem WHERE l_orderkey < 500",
+    "SELECT l_orderkey, l_linenumber, l_quantity + 1 AS a, l_quantity - 1 AS b, l_quantity * 2 AS c, try_divide(l_quantity, l_linenumber - 1) AS d, try_mod(l_linenumber, l_linenumber - 1) AS e FROM lineitem",
+    "SELECT l_orderkey, l_linenumber, l_quantity + 1 AS a, l_quantity - 1 AS b, l_quantity * 2 AS c, l_quantity / nullif(l_linenumber - 1, 0) AS d, (l_linenumber % nullif(l_linenumber - 1, 0))::INTEGER AS e FROM lineitem",
 )
 same(
     "p4_concat",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -82,7 +83,7 @@ def sq8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("v9_binary", "SELECT vec_id, list_sum(list_transform(list_zip(a, b), lambda p: CASE WHEN (p[1] > 0) <> (p[2] > 0) THEN 1 ELSE 0 END))::BIGINT AS d " + _PAIR)
 def binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = V.literal(query_vector(spark, sf_dir))
-    words = range(2)
+    words = range(math.ceil(len(query_vector(spark, sf_dir)) / 63))
     d = functools.reduce(lambda a, b: a + b, [F.bit_count(V.sign_bits(F.col("embedding"), w).bitwiseXOR(V.sign_bits(q, w))) for w in words])
     return load(spark, sf_dir, "embeddings").select("vec_id", d.cast("long").alias("d"))
 
@@ -112,17 +113,17 @@ _TERMS = ["ering", "there", "hation"]
 
 @query("h1_bm25", _bm25(_TERMS, "or") + "SELECT doc_id, round(score, 6) AS score FROM b")
 def bm25_or(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.bm25(load(spark, sf_dir, "documents"), "doc_id", "text", T.analyze(spark, "ering there hation")).select("doc_id", F.round("score", 6).alias("score"))
+    return T.bm25(load(spark, sf_dir, "documents"), "doc_id", "text", T.analyze(spark, "ering there hation"), "or").select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("h4_bm25_and", _bm25(["the", "of"], "and") + "SELECT doc_id, round(score, 6) AS score FROM b")
 def bm25_and(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.bm25(load(spark, sf_dir, "documents"), "doc_id", "text", ["the", "of"], "and").select("doc_id", F.round("score", 6).alias("score"))
+    return T.bm25(load(spark, sf_dir, "documents"), "doc_id", "text", ["the", "of"]).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("h9_bm25_top", _bm25(["the", "and"], "or") + "SELECT doc_id, round(score, 6) AS score FROM b ORDER BY b.score DESC, doc_id LIMIT 20")
 def bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = T.bm25(load(spark, sf_dir, "documents"), "doc_id", "text", ["the", "and"])
+    d = T.bm25(load(spark, sf_dir, "documents"), "doc_id", "text", ["the", "and"], "or")
     return d.orderBy(F.desc("score"), "doc_id").limit(20).select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -131,7 +132,7 @@ _RRF = _bm25(["the", "and"], "or") + ", x AS (SELECT doc_id, row_number() OVER (
 
 def _lists(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     docs = load(spark, sf_dir, "documents")
-    return [T.ranked(T.bm25(docs, "doc_id", "text", ["the", "and"]), [F.desc("score"), F.col("doc_id")], 50), T.ranked(docs.select("doc_id", "n_chars"), [F.desc("n_chars"), F.col("doc_id")], 50)]
+    return [T.ranked(T.bm25(docs, "doc_id", "text", ["the", "and"], "or"), [F.desc("score"), F.col("doc_id")], 50), T.ranked(docs.select("doc_id", "n_chars"), [F.desc("n_chars"), F.col("doc_id")], 50)]
 
 
 @query("h2_rrf", _RRF + "SELECT doc_id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score FROM (SELECT * FROM x UNION ALL SELECT * FROM y) u GROUP BY doc_id")
@@ -162,7 +163,7 @@ def standard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("h7_synonyms", _bm25(["ering", "eron", "there"], "or") + "SELECT count(*) AS n FROM b")
 def synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = T.analyze(spark, "ering there", synonyms={"ering": ["eron"]})
-    return T.bm25(load(spark, sf_dir, "documents"), "doc_id", "text", terms).agg(F.count("*").alias("n"))
+    return T.bm25(load(spark, sf_dir, "documents"), "doc_id", "text", terms, "or").agg(F.count("*").alias("n"))
 
 
 @query("h8_text_match", f"SELECT doc_id, lang FROM (SELECT *, {_TOK} AS t FROM documents) x WHERE list_contains(t, 'ering')")
@@ -186,5 +187,3 @@ def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), V.distance(F.col("embedding"), V.literal(query_vector(spark, sf_dir)), "cosine").alias("d"))
     return T.fuse([text, T.ranked(e, [F.col("d"), F.col("doc_id")], 50)], "doc_id", [60 / 0.5, 60 / 0.5]).select("doc_id", F.round("score", 9).alias("score"))
 
-
-assert Window is not None

@@ -50,9 +50,10 @@ def tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = folder(spark)
     e = events(spark, sf_dir).withColumn("at", F.timestamp_millis("ms"))
     s = C.tumbling(C.replay(spark, e, at, 3, "ms"), "at", "6 hours", ["event_type"], [F.count("*").alias("n")])
-    name = "tumbling_" + at.rpartition("-")[2].replace("/", "_")
-    s.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.unix_millis("window.start").alias("bucket"), "event_type", "n")
+    # each batch's complete table replaces the one before it; nothing is gathered in the driver
+    write = lambda df, _: df.write.mode("overwrite").parquet(f"{at}/tumbling")
+    s.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/tumbling").select(F.unix_millis("window.start").alias("bucket"), "event_type", "n")
 
 
 @query("t9_changes", "SELECT event_id AS lsn, event_type AS collection FROM events WHERE event_type = 'purchase' AND (epoch_us(ts) // 1000) >= 1704585600000")

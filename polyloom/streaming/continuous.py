@@ -103,6 +103,21 @@ class ContinuousAggregate:
     def write_batch(self, batch: DataFrame, batch_id: int) -> None:
         self.partial(batch).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
 
+    def compact(self, spark: SparkSession) -> None:
+        """Replace the states of all batches by one a bucket.  Run it while nothing reads or writes; if it is cut off, the hidden folder holds all states."""
+        old = self._batches(spark)
+        merged = self._merged(self.states(spark))
+        name = f"{self.path}/.compacting-{uuid.uuid4().hex}"
+        merged.write.parquet(name)
+        fs, path = _files(spark, self.path)
+        for p in old:
+            fs.delete(path(p), True)
+        fs.rename(path(name), path(f"{self.path}/batch={-1 - len(old)}"))
+
+    def _batches(self, spark: SparkSession) -> list[str]:
+        fs, path = _files(spark, self.path)
+        return [s.getPath().toString() for s in fs.listStatus(path(self.path)) if s.getPath().getName().startswith("batch=")]
+
     def start(self, stream: DataFrame, checkpoint: str, policy: str = "available"):
         """``available``: all there is, then stop; ``periodic:1 minute``; both merge on read."""
         w = stream.writeStream.foreachBatch(self.write_batch).option("checkpointLocation", checkpoint)
@@ -124,6 +139,12 @@ class ContinuousAggregate:
         return self.read(spark).filter(F.col("bucket") >= (top or 0) - interval_ms(keep))
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and a maker of its paths."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    return hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop.Path
+
+
 def tumbling(stream: DataFrame, time: str, size: str, keys: list[str], measures: list[Column], late: str = "1 hour", slide: str | None = None) -> DataFrame:
     """Watermarked windows (sliding with ``slide``); later rows than ``late`` are dropped, unlike in ContinuousAggregate."""
     w = F.window(time, size, slide) if slide else F.window(time, size)

@@ -165,7 +165,7 @@ def test_graph_algorithms(spark, social):
 
 def test_text(spark):
     d = spark.createDataFrame([("d1", "Rust is a systems programming language"), ("d2", "Python is great for machine learning"), ("d3", "Rust and Python are both great languages"), ("d4", None)], "doc_id string, text string")
-    got = text.bm25(d, "doc_id", "text", ["rust", "programming"]).orderBy(F.desc("score")).collect()
+    got = text.bm25(d, "doc_id", "text", ["rust", "programming"], "or").orderBy(F.desc("score")).collect()
     assert [r.doc_id for r in got] == ["d1", "d3"]
     assert text.bm25(d, "doc_id", "text", ["rust", "programming"], "and").count() == 1
     assert spark.range(1).select(text.standard_tokens(F.lit("the running jumps quickly")).alias("t")).first().t[:2] == ["run", "jump"]
