@@ -135,6 +135,17 @@ def test_repeated_bytes_match_brute_force(spark, docs, corpus, hot, chunk, monke
     assert substring_exact.remove_repeats(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [3, 1 << 20])
+def test_induced_sorting(limit):
+    from polyloom.llm.induced_sorting import suffix_array
+
+    rng = random.Random(1)
+    texts = [bytes(rng.randrange(rng.choice((1, 2, 3, 250))) for _ in range(rng.randrange(80))) for _ in range(200)]
+    texts += [b"", b"a", b"aaaa", b"abababab", b"mississippi", ("Élan über " * 30).encode()]
+    for t in texts:
+        assert suffix_array(t, limit) == sorted(range(len(t)), key=lambda i: t[i:])
+
+
 def test_rolling_and_sliding():
     rng = np.random.default_rng(0)
     b = rng.integers(0, 3, 900).astype(np.uint8)
