@@ -7,7 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyloom.functions import geo, vector
+from polyloom.functions import geo
+from polyloom.functions import sql as sql_functions, vector
 from polyloom.operators import dml, graph, text
 from polyloom.plans import match as match_plan
 from polyloom.plans.promql import Engine
@@ -29,6 +30,7 @@ class Database:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.tables: dict[str, DataFrame] = {}
+        sql_functions.register(spark)
         spark.udf.register("st_contains", geo._binary(geo.contains_, "boolean"))
         spark.udf.register("st_intersects", geo._binary(geo.intersects_, "boolean"))
         spark.udf.register("st_distance", geo._binary(geo.distance_, "double"))

@@ -34,6 +34,6 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def collect() -> tuple[dict[str, Query], dict[str, str]]:
-    from polyloom.queries import dml, geo, graph, promql, relational, retrieval, scalar, streaming, timeseries  # noqa: F401
+    from polyloom.queries import dml, functions, geo, graph, promql, relational, retrieval, scalar, streaming, timeseries  # noqa: F401
 
     return QUERIES, ORACLES
