@@ -770,3 +770,46 @@ def test_fingerprints_are_free_of_context(spark):
     assert min(len(r.anchors) for r in few) >= 6
     long = spark.createDataFrame([(say(rng, 60_000),)], "text string").select("text", fingerprints.fingerprint(F.col("text")).alias("f")).first()
     assert long.f == sketch_of(long.text)
+
+
+@pytest.mark.parametrize("name", ["toxicity", "simhash", "pieces", "langid", "mix", "lines", "bytes", "passages", "fingerprints", "near_copies"])
+def test_odd_rows_of_every_operator(spark, name):
+    """Null ids and texts, empty and very long texts, repeated rows, columns whose names the operators use themselves."""
+    from polyloom.llm import near_copies
+
+    rng = random.Random(77)
+    long = say(rng, 40_000)
+    rows = [(None, "a text without an id " + say(rng, 60)), (None, None), (None, "a text without an id " + say(rng, 60)), (1, None), (2, ""), (3, long), (4, long), (5, "x" * 200_000), (6, say(rng, 80)), (6, say(rng, 80)), (7, "twice " * 3), (7, "twice " * 3), (8, "\t\n ")]
+    odd = ["node", "key", "v", "th_", "copies", "row_", "label", "fp", "least", "component", "h1", "line", "size", "score", "next", "t_", "n", "u", "each_"]
+    docs = spark.createDataFrame([(i, t, "xx", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").select("*", *[F.lit(7).alias(c) for c in odd]).repartition(3)
+    run = {
+        "toxicity": lambda d: toxicity.score(d, toxicity.train(d, spark.createDataFrame([(6, 1), (7, 0), (3, 0)], "doc_id long, toxic int"))),
+        "simhash": simhash.groups,
+        "pieces": lambda d: pieces.encode(d, PIECES),
+        "langid": lambda d: langid.predict(d, langid.train(d)),
+        "mix": mixing.mix,
+        "lines": line_dedup.dedup_lines,
+        "bytes": substring_exact.remove_repeats,
+        "passages": passages.near_passages,
+        "fingerprints": fingerprints.compare_edited,
+        "near_copies": near_copies.one_of_each,
+    }[name]
+    got = run(docs).collect()
+    if name == "near_copies":
+        # one of the two long texts, of the two equal rows, and of the texts without a word; two texts without an id and two of id 6 differ
+        assert len(got) == 8 and set(got[0].asDict()) == set(docs.columns)
+    else:
+        assert len(got) == len(rows)
+        assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in rows)
+    by = {r.doc_id: r for r in got}
+    if name == "passages":
+        assert by[3].component_id == by[4].component_id == 3 and by[3].n_passage_words == 40_000
+    if name == "bytes":
+        assert by[3].n_removed == by[3].n_bytes == by[4].n_removed and by[5].n_removed == 200_000 and by[6].n_removed == 0
+    if name == "lines":
+        assert by[4].n_removed == 1 and by[3].n_removed == 0
+    if name == "pieces":
+        assert by[3].exact and by[5].exact
+    if name == "simhash":
+        assert by[3].component_id == by[4].component_id == 3 and by[1].component_id == by[2].component_id == 1
+    assert run(docs.limit(0)).count() == 0
