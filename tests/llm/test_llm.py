@@ -456,6 +456,28 @@ def test_similarity_counts_facing_stretches():
     assert spans(np.concatenate([a[46:], a[:46]]))[0] > spans(np.concatenate([a[46:], a[:46]]))[1]
 
 
+def test_large_groups_find_what_all_pairs_find():
+    rng = np.random.default_rng(6)
+    w, n = 46, 120
+    rows = []
+    # one passage's edge: most share 30 places with the first and nothing else; some crowds share their own surroundings as well
+    base = rng.integers(1, 1 << 16, 91).astype(np.uint16)
+    own = [rng.integers(1, 1 << 16, 91).astype(np.uint16) for _ in range(8)]
+    for k in range(n):
+        z = rng.integers(1, 1 << 16, 91).astype(np.uint16) if k % 3 else own[rng.integers(8)].copy()
+        r = rng.integers(20, 46)
+        z[45 : 45 + r] = base[45 : 45 + r]
+        for _ in range(rng.integers(0, 2)):
+            c = rng.integers(0, 87)
+            z[c : c + 4] = rng.integers(1, 1 << 16, 4)
+        rows.append(z)
+    x, place = np.array(rows), np.full(n, 1 << 40 | 45 << 16 | 45)
+    g = passages._Groups(w, 0.8)
+    comp, lo, hi = g.large(x, place)
+    all_comp, all_lo, all_hi = g.small([n], x, place)
+    assert comp.tolist() == all_comp.tolist() and len(set(comp.tolist())) > 20 and ((hi >= lo) == (all_hi >= all_lo)).all()
+
+
 def passage_truth(texts, words=50, similarity=0.8):
     """Pairs of texts with facing stretches of that similarity (words put in or left out move the stretches by one word at most), by brute force."""
     width = words - 4
