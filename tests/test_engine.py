@@ -248,3 +248,36 @@ def test_json(spark):
     d = spark.createDataFrame([('{"a":{"b":[5,6]},"s":"x"}',), (None,), ("nonsense",)], "j string")
     got = d.select(scalar.json_get(F.col("j"), "a.b.1").alias("v"), scalar.json_exists(F.col("j"), "$.s").alias("e"), scalar.json_type(F.col("j")).alias("t")).collect()
     assert [(r.v, r.e, r.t) for r in got] == [("6", True, "object"), (None, False, None), (None, False, None)]
+
+
+def test_compaction_keeps_results(spark, tmp_path):
+    from polyloom.streaming.continuous import ContinuousAggregate, Measure
+
+    agg = ContinuousAggregate(f"file://{tmp_path}/agg", "ms", "1h", ["k"], [Measure("count"), Measure("avg", "v"), Measure("last", "v")])
+    for b in range(3):
+        agg.write_batch(spark.createDataFrame([(b * 1_800_000 + i, i % 2, float(i + b)) for i in range(10)], "ms long, k int, v double"), b)
+    before = sorted(map(tuple, agg.read(spark).collect()))
+    agg.compact(spark)
+    assert len(agg._batches(spark)) == 1 and sorted(map(tuple, agg.read(spark).collect())) == before
+    agg.write_batch(spark.createDataFrame([(5, 0, 1.0)], "ms long, k int, v double"), 3)
+    agg.compact(spark)
+    assert agg.read(spark).agg(F.sum("count_all")).first()[0] == 31 and len(agg._batches(spark)) == 1
+
+
+def test_terms_are_literal(spark):
+    d = spark.createDataFrame([(1, "c++ (beta) and a.b"), (2, "axb beta")], "id long, t string")
+    marked = {r.id: r.m for r in d.select("id", text.highlight(F.col("t"), ["(beta", "a.b"]).alias("m")).collect()}
+    assert marked == {1: "c++ <b>(beta</b>) and <b>a.b</b>", 2: "axb beta"}
+    assert [r.id for r in text.bm25(d, "id", "t", ["beta", "axb"]).collect()] == [2]
+    assert text.bm25(d, "id", "t", ["beta", "axb"], "or").count() == 2
+
+
+def test_long_paths_have_their_distances(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(12)], "src long, dst long")
+    with pytest.raises(RuntimeError):
+        graph.sssp(edges, 0, max_rounds=3)
+    with pytest.raises(RuntimeError):
+        graph.kcore(edges, max_rounds=1)
+    assert graph.distances(edges, 2).agg(F.max("depth")).first()[0] == 2
+    d = graph.distances(edges, sources=spark.createDataFrame([(0,)], "id long"))
+    assert d.agg(F.max("depth")).first()[0] == 12
