@@ -1,18 +1,20 @@
 """Near-duplicate passages by compact windows.
 
-A text is a sequence of 5-word shingles.  For a hash function, a compact window (l, c, r) stands for all subsequences of l..r that
-contain c: their least hash is that of shingle c (a node of the Cartesian tree over the hashes, with its range).
-Only windows of at least ``width`` shingles matter, and those are read off the minima of all stretches of ``width``
-shingles: the stretches that share their minimum c are the ones between l and r (cut to what a stretch of
-that width around c can reach, since longer passages consist of such stretches).  There are about 2 n / width.
-
-1. The least hashes of all windows are counted; those that occur twice set a bit in a map of fixed size, which is broadcast.
-2. Within a text, an interval join keeps the windows whose hash may repeat and that overlap one of another function, which may
-   repeat too, in ``width`` shingles: a similar stretch agrees in two of ``functions`` minima, or is not found.
-3. Windows of one hash and equal surroundings (``width`` - 1 shingles to either side of c) are one class: all of them repeat.
-4. Classes of one hash are compared by their surroundings, aligned at c: a pair is linked if facing stretches of
+A text is a sequence of 5-word shingles.  Two stretches of ``width`` shingles are similar if they face each other in at least ``need`` of them.  What they
+lack is at most ``width - need`` shingles, and an edit takes three or more (a word put in beside its like) to five.  So they share a run
+of at least ``need / (1 + edits)`` shingles (21 of 46: ``_run``), and no pair is lost if every such run is looked up.
+
+For a hash, a compact window (l, c, r) stands for all subsequences of l..r that contain c: their least hash is that of c (a node of the
+Cartesian tree over the hashes, with its range).  The windows of at least a run are read off the minima of all stretches of that
+length: both texts name the least hash of a run they share.  What is hashed are grams of ``GRAM`` shingles (17 words), which
+hardly repeat by chance or for a short phrase that many texts share.
+Breaks that cost less lie within a word repeated three times or more: grams of 9 words that begin or end with a doubled word are named as well.
+
+1. The hashes named are counted; those that occur twice set a bit in a map, which is broadcast.
+2. Windows of one hash and equal surroundings (``width`` - 1 shingles to either side of c) are one class: all of them repeat.
+3. Classes of one hash are compared by their surroundings, aligned at c: a pair is linked if facing stretches of
    ``width`` shingles have a Jaccard similarity of at least ``similarity``.  Every class is compared with all that are not yet of its component.
-   A hash with over ``BUCKET`` classes is cut into buckets; each of their components sends one class on to the next level.
+   A hash with over ``BUCKET`` classes is cut into parts, and every two parts are compared together in a task of their own.
 
 Stretches found give each document's passages; documents linked by them form classes.
 """
@@ -32,10 +34,12 @@ from polyloom.llm.substring_exact import sliding_min
 SHINGLE = 5
 #: Equal texts (two bigints each) that may be broadcast.
 BROADCAST_ROWS = 1_000_000
-#: Bits of the map of hashes that may repeat (2^26: 8 MB, whatever the corpus), and of one of its pages.
-MAP_BITS, PAGE = 26, 32768
+#: Bits of the map of hashes that may repeat (2^26: 8 MB; up to 2^29 for more of them), and of one of its pages.
+MAP_BITS, MOST_BITS, PAGE = 26, 29, 32768
 #: Classes of one hash that one task compares.
 BUCKET = 8192
+#: Shingles in a row that are named by one hash, and those at doubled words.
+GRAM, TWIN_GRAM = 13, 5
 _BLOCK = 1 << 18
 _pw = _inv = np.ones(1, np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -109,24 +113,26 @@ def compact_windows(x: np.ndarray, width: int, function: int, text: np.ndarray |
     return h[c[lo]].view(np.int64), start[lo], c[lo], start[hi] + width - 1  # hashes of two functions differ by their seeds
 
 
-def _blocks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(shingle hashes, number of the text each belongs to) of the texts, some ``_BLOCK`` bytes at a time; null texts have none."""
+def _blocks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(shingle hashes, number of the text each belongs to, 1 if it begins with a doubled word and 2 if it ends with one) of the texts,
+    some ``_BLOCK`` bytes at a time; null texts have none."""
     raws: list[bytes] = []
     rows: list[int] = []
     size = 0
 
-    def flush() -> tuple[np.ndarray, np.ndarray]:
+    def flush() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         b = np.frombuffer(b"\n".join(raws), np.uint8)
         w, first = _words(b)
         n = len(w) - SHINGLE + 1
         if n <= 0:
-            return np.empty(0, np.uint64), np.empty(0, np.int64)
+            return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint8)
         of = np.searchsorted(np.cumsum([0, *[len(r) + 1 for r in raws[:-1]]]), first, side="right") - 1
         h = np.zeros(n, np.uint64)
         for i in range(SHINGLE):
             h = _mix(h * _P + w[i : i + n])
         same = of[:n] == of[SHINGLE - 1 :]
-        return h[same], np.array(rows)[of[:n][same]]
+        twin = (w[1:] == w[:-1]).astype(np.uint8)
+        return h[same], np.array(rows)[of[:n][same]], (twin[:n] | twin[SHINGLE - 2 :] << np.uint8(1))[same]
 
     for i, t in enumerate(texts):
         raw = t.as_buffer()
@@ -163,65 +169,87 @@ def surroundings(x: np.ndarray, text: np.ndarray, c: np.ndarray, width: int) ->
     return _mix(_mix(h) ^ (before.astype(np.uint64) * _P) ^ (after.astype(np.uint64) << np.uint64(40))).view(np.int64), before, after, c - first
 
 
-def _hashes(width: int, functions: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """text -> v, the least hash of every compact window."""
+def _need(width: int, similarity: float) -> int:
+    """Shingles that two sets of ``width`` share at least."""
+    return int(np.ceil(2 * width * similarity / (1 + similarity) - 1e-9))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _run(width: int, similarity: float) -> int:
+    """Shingles in a row that similar stretches share at least."""
+    need = _need(width, similarity)
+    edits = (width - need) // 3 if _drift(width, similarity) <= 1 else width - need
+    return -(-need // (edits + 1))
+
+
+def _grams(x: np.ndarray, text: np.ndarray, g: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place) of all ``g`` shingles in a row of one text."""
+    n = len(x) - g + 1
+    if n <= 0:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    y = np.full(n, np.uint64(g))
+    for i in range(g):
+        y = _mix(y * _P + x[i : i + n])
+    at = np.flatnonzero(text[:n] == text[g - 1 :])
+    return y[at], at
+
+
+def anchors(x: np.ndarray, text: np.ndarray, twin: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place) of the grams that stand for all stretches of ``run`` shingles, and of short ones at doubled words."""
+    long, short = min(GRAM, run), min(TWIN_GRAM, run)
+    y, at = _grams(x, text, long)
+    c = compact_windows(y, run - long + 1, 0, text[at])[2]
+    z, where = _grams(x, text, short)
+    mark = (twin[where] & 1 | twin[where + short - 1] & 2) > 0
+    mark[1:] &= (z[1:] != z[:-1]) | (text[where[1:]] != text[where[:-1]])
+    return np.concatenate([y[c], z[mark]]).view(np.int64), np.concatenate([at[c], where[mark]])
+
+
+def _hashes(run: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """text -> v, the hashes named."""
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, text in _blocks(batch.column(0)):
-                for f in range(functions):
-                    yield pa.RecordBatch.from_arrays([pa.array(compact_windows(x, width, f, text)[0])], names=["v"])
+            for x, text, twin in _blocks(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(anchors(x, text, twin, run)[0])], names=["v"])
 
-    return run
+    return every
 
 
 def _again(v: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    at = (v.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+    at = (v.view(np.uint64) >> np.uint64(64 - (8 * len(bits)).bit_length() + 1)).astype(np.int64)
     return bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
 
 
-def _candidates(width: int, functions: int, bits: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """node, text -> node, v, k, place: windows that may repeat, and have one of another function that may repeat over ``width`` shingles of theirs.
+def _candidates(width: int, run: int, bits: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """node, text -> node, v, k, place: grams named that may repeat.
 
-    k: hash of the surroundings; place: c, and the shingles around it before and after, in one bigint.  Of two functions that agree one is not the last,
-    so the windows of the last function serve as partners only.
+    k: hash of the surroundings; place: c, and the shingles around it before and after, in one bigint.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(bits, np.uint8)
         for batch in batches:
-            for x, text in _blocks(batch.column(1)):
-                every = []
-                for f in range(functions):
-                    w = compact_windows(x, width, f, text)
-                    some = _again(w[0], known)
-                    every.append([a[some] for a in w])
-                for f in range(functions - 1):
-                    v, lo, c, hi = every[f]
-                    met = np.zeros(len(v), bool)
-                    for g in range(functions):
-                        if g != f:
-                            # within a function starts and ends both ascend: the windows that overlap a given one are a range
-                            _, gl, _, gh = every[g]
-                            met |= np.searchsorted(gl, hi - width + 1, side="right") > np.searchsorted(gh, lo + width - 1)
-                    v, c = v[met], c[met]
-                    if len(v):
-                        k, before, after, at = surroundings(x, text, c, width)
-                        node = batch.column(0).take(pa.array(text[c]))
-                        yield pa.RecordBatch.from_arrays([node, pa.array(v), pa.array(k), pa.array(at << 32 | before << 16 | after)], names=["node", "v", "k", "place"])
+            for x, text, twin in _blocks(batch.column(1)):
+                v, c = anchors(x, text, twin, run)
+                some = _again(v, known)
+                v, c = v[some], c[some]
+                if len(v):
+                    k, before, after, at = surroundings(x, text, c, width)
+                    node = batch.column(0).take(pa.array(text[c]))
+                    yield pa.RecordBatch.from_arrays([node, pa.array(v), pa.array(k), pa.array(at << 32 | before << 16 | after)], names=["node", "v", "k", "place"])
 
-    return run
+    return every
 
 
 def _fetch(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """node, text, want (list of v, place, salt, deep) -> v, salt, deep, node, place, x (16 bits of each shingle around c, 0 outside the text)."""
+    """node, text, want (list of v, place, salt) -> v, salt, node, place, x (16 bits of each shingle around c, 0 outside the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             want = batch.column(2)
             at, part = want.offsets.to_numpy(), want.values
             place = part.field("place").to_numpy()
-            for x, text in _blocks(batch.column(1)):
+            for x, text, _ in _blocks(batch.column(1)):
                 rows = np.unique(text)
                 n = at[rows + 1] - at[rows]
                 k = np.repeat(at[rows], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -236,14 +264,14 @@ def _fetch(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                     kept = part.take(pa.array(j))
                     node = batch.column(0).take(pa.array(np.repeat(rows, n)[lo : lo + 4096]))
                     content = pa.FixedSizeBinaryArray.from_buffers(pa.binary(near.shape[1] * 2), len(j), [None, pa.py_buffer(near.tobytes())]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([kept.field("v"), kept.field("salt"), kept.field("deep"), node, kept.field("place"), content], names=["v", "salt", "deep", "node", "place", "x"])
+                    yield pa.RecordBatch.from_arrays([kept.field("v"), kept.field("salt"), node, kept.field("place"), content], names=["v", "salt", "node", "place", "x"])
 
     return run
 
 
 def _drift(width: int, similarity: float) -> int:
     """By how many places words put in or left out can move a similar stretch."""
-    return max(0, width - int(np.ceil(2 * width * similarity / (1 + similarity) - 1e-9)) - SHINGLE + 1)
+    return max(0, width - _need(width, similarity) - SHINGLE + 1)
 
 
 def similar(a: np.ndarray, b: np.ndarray, before: np.ndarray, after: np.ndarray, width: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -252,7 +280,7 @@ def similar(a: np.ndarray, b: np.ndarray, before: np.ndarray, after: np.ndarray,
 
     A shingle counts if the facing stretch has it at the same place or, for words put in or left out, at most ``drift`` places off.
     """
-    need = int(np.ceil(2 * width * similarity / (1 + similarity) - 1e-9))
+    need = _need(width, similarity)
     drift = _drift(width, similarity)
     n, size = a.shape
     first, last = np.full(n, width), np.full(n, -1)
@@ -366,24 +394,16 @@ class _Groups:
 
 
 def _compare_groups(width: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """v, salt, deep, node, place, x sorted by v and salt -> node, root, l, r of the classes that are similar to another; and, of groups that are
-    only part of a hash's classes (deep), v, node, place, x of one class a component."""
+    """v, salt, node, place, x sorted by v and salt -> node, root, l, r of the classes that are similar to another."""
     size = 2 * (2 * width - 1)
 
-    def emit(t: pa.Table, comp: np.ndarray, lo: np.ndarray, hi: np.ndarray, deep: bool) -> Iterator[pa.RecordBatch]:
+    def emit(t: pa.Table, comp: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[pa.RecordBatch]:
         node, place = t["node"].to_numpy(), t["place"].to_numpy()
         found = np.flatnonzero(hi >= lo)
         c = place[found] >> 32
         if len(found):
-            none = pa.nulls(len(found))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(node[found]), pa.array(node[comp[found]]), pa.array((c + lo[found]).astype(np.int32)), pa.array((c + hi[found]).astype(np.int32)), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary())],
-                names=["node", "root", "l", "r", "v", "place", "x"],
-            )
-        if deep:
-            own = t.take(pa.array(np.flatnonzero(comp == np.arange(len(comp))))).combine_chunks()
-            none = pa.nulls(len(own))
-            yield from pa.table([own["node"], none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int32()), own["v"], own["place"], own["x"]], names=["node", "root", "l", "r", "v", "place", "x"]).to_batches()
+            ends = [pa.array((c + side[found]).astype(np.int32)) for side in (lo, hi)]
+            yield pa.RecordBatch.from_arrays([pa.array(node[found]), pa.array(node[comp[found]]), *ends], names=["node", "root", "l", "r"])
 
     def flat(t: pa.Table) -> np.ndarray:
         return np.frombuffer(b"".join(t["x"].to_pylist()), "<u2").reshape(-1, size // 2)
@@ -397,20 +417,20 @@ def _compare_groups(width: int, similarity: float) -> Callable[[Iterator[pa.Reco
         def drain() -> Iterator[pa.RecordBatch]:
             if pool:
                 t = pa.concat_tables(pool)
-                yield from emit(t, *g.small(sizes, flat(t), t["place"].to_numpy()), False)
+                yield from emit(t, *g.small(sizes, flat(t), t["place"].to_numpy()))
                 pool.clear()
                 sizes.clear()
 
         def close() -> Iterator[pa.RecordBatch]:
             t = pa.concat_tables(group)
             group.clear()
-            if len(t) <= 32 and not t["deep"][0].as_py():
+            if len(t) <= 32:
                 pool.append(t)
                 sizes.append(len(t))
                 if sum(sizes) > 20_000:
                     yield from drain()
             else:
-                yield from emit(t, *g.large(flat(t), t["place"].to_numpy()), t["deep"][0].as_py())
+                yield from emit(t, *g.large(flat(t), t["place"].to_numpy()))
 
         last = None
         for batch in batches:
@@ -450,18 +470,20 @@ def _merged(extra: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
-def _repeated_hashes(texts: DataFrame, width: int, functions: int) -> bytes:
-    """A map of 2^MAP_BITS bits: those of the least hashes that occur twice are set (others may share them)."""
-    v = texts.select("text").mapInArrow(_hashes(width, functions), "v bigint")
-    twice = v.groupBy("v").count().filter("count > 1").select(F.shiftrightunsigned("v", 64 - MAP_BITS).alias("b"))
+def _repeated_hashes(texts: DataFrame, run: int) -> bytes:
+    """A map of 2^MAP_BITS bits or more: those of the hashes named that occur twice are set (others may share them)."""
+    v = texts.select("text").mapInArrow(_hashes(run), "v bigint")
+    twice = stored(v.groupBy("v").count().filter("count > 1").select("v"), "passage-hashes")
+    size = min(max(MAP_BITS, (16 * twice.count()).bit_length()), MOST_BITS)
+    twice = twice.select(F.shiftrightunsigned("v", 64 - size).alias("b"))
     pages = twice.groupBy(F.floor(F.col("b") / PAGE).cast("int").alias("page")).agg(F.expr(f"bitmap_construct_agg(b % {PAGE})").alias("bits"))
-    bits = bytearray(1 << MAP_BITS - 3)
+    bits = bytearray(1 << size - 3)
     for r in pages.toLocalIterator():
         bits[r.page * (PAGE // 8) : (r.page + 1) * (PAGE // 8)] = r.bits
     return bytes(bits)
 
 
-def near_passages(docs: DataFrame, words: int = 50, similarity: float = 0.8, functions: int = 4) -> DataFrame:
+def near_passages(docs: DataFrame, words: int = 50, similarity: float = 0.8) -> DataFrame:
     """doc_id, n_passages, n_passage_words, passages (array of first and last word), component_id: a row for each row of ``docs``.
 
     A passage is a run of at least ``words`` words with a near copy in another text, or at another place of one.  component_id is the least
@@ -470,8 +492,9 @@ def near_passages(docs: DataFrame, words: int = 50, similarity: float = 0.8, fun
     a null doc_id is no one's component_id but its own.  An empty table gives no rows; other columns are ignored.
     """
     width = words - SHINGLE + 1
-    if not 2 <= width < 1 << 13 or not 2 <= functions <= 16:
-        raise ValueError("words or functions out of range")
+    if not 2 <= width < 1 << 13 or not 0 < similarity <= 1:
+        raise ValueError("words or similarity out of range")
+    run = _run(width, similarity)
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).select("doc_id", F.xxhash64(F.xxhash64("text"), F.xxhash64(F.lit(1), "text")).alias("node"), "text")
     # of equal texts one row goes on; the others are listed (up to BROADCAST_ROWS of them broadcast, more joined by a shuffle)
@@ -479,10 +502,10 @@ def near_passages(docs: DataFrame, words: int = 50, similarity: float = 0.8, fun
     copies = stored(copies, "passage-copies")
     few = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
     single = texts.join(few, "node", "left").filter(F.col("rep").isNull() | (F.col("rep") == F.col("doc_id"))).select("node", "text")
-    bits = spark.sparkContext.broadcast(_repeated_hashes(single, width, functions))
+    bits = spark.sparkContext.broadcast(_repeated_hashes(single, run))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _candidates(width, functions, bits.value)(batches)
+        return _candidates(width, run, bits.value)(batches)
 
     rows = stored(single.mapInArrow(candidates, "node bigint, v bigint, k bigint, place bigint"), "windows")
     # rows that repeat in id and text come twice, at one place
@@ -497,20 +520,14 @@ def near_passages(docs: DataFrame, words: int = 50, similarity: float = 0.8, fun
     # similar surroundings: one row for each class
     many = classes.groupBy("v").agg(F.count("*").alias("m")).filter("m > 1")
     level = classes.select("v", "k", "rep.node", "rep.place").join(many, "v")
-    salted = [(F.when(F.col("m") > BUCKET, F.pmod("k", F.ceil(F.col("m") / BUCKET))).otherwise(0)).cast("int").alias("salt"), (F.col("m") > BUCKET).alias("deep")]
-    want = level.select("node", "v", "place", *salted).groupBy("node").agg(F.collect_list(F.struct("v", "place", "salt", "deep")).alias("want"))
-    got = single.join(want, "node").dropDuplicates(["node"]).select("node", "text", "want").mapInArrow(_fetch(width), "v bigint, salt int, deep boolean, node bigint, place bigint, x binary")
-    while True:
-        out = got.repartition("v", "salt").sortWithinPartitions("v", "salt").mapInArrow(_compare_groups(width, similarity), "node bigint, root bigint, l int, r int, v bigint, place bigint, x binary")
-        out = stored(out, "passages-similar")
-        found.append(out.filter("root is not null").select("node", "root", "l", "r"))
-        left = out.filter("x is not null").select("v", "node", "place", "x")
-        sizes = stored(left.groupBy("v").agg(F.count("*").alias("m")), "passages-left")
-        if sizes.isEmpty():
-            break
-        # buckets that hardly shrink are compared as wholes
-        deep = (F.col("m") > BUCKET) & F.lit(len(found) < 6)
-        got = left.join(sizes, "v").select("v", F.when(deep, F.pmod(F.xxhash64("node", "place", F.lit(len(found))), F.ceil(F.col("m") / BUCKET))).otherwise(0).cast("int").alias("salt"), deep.alias("deep"), "node", "place", "x")
+    # over BUCKET classes: parts of half as many, each in one group with every other
+    parts = F.ceil(2 * F.col("m") / BUCKET).cast("int")
+    own = F.pmod("k", parts).cast("int")
+    salts = F.when(F.col("m") > BUCKET, F.transform(F.filter(F.sequence(F.lit(0), parts - 1), lambda j: j != own), lambda j: F.least(own, j).cast("long") * parts + F.greatest(own, j))).otherwise(F.array(F.lit(0).cast("long")))
+    want = level.select("node", "v", "place", F.explode(salts).alias("salt")).groupBy("node").agg(F.collect_list(F.struct("v", "place", "salt")).alias("want"))
+    got = single.join(want, "node").dropDuplicates(["node"]).select("node", "text", "want").mapInArrow(_fetch(width), "v bigint, salt bigint, node bigint, place bigint, x binary")
+    out = got.repartition("v", "salt").sortWithinPartitions("v", "salt").mapInArrow(_compare_groups(width, similarity), "node bigint, root bigint, l int, r int")
+    found.append(stored(out, "passages-similar"))
     every = found[0]
     for f in found[1:]:
         every = every.union(f)

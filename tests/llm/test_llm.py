@@ -546,6 +546,37 @@ def test_near_passages_recall(spark, bucket, monkeypatch):
         assert f < 126 or got[i].n_passages == 0
 
 
+def test_near_passages_leave_no_pair_out(spark, monkeypatch):
+    monkeypatch.setattr(passages, "BUCKET", 6)
+    rng = random.Random(57)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    pairs = []
+    # 50 words, one of them changed, put in, left out or doubled
+    for f in range(300):
+        p = [word() for _ in range(50)]
+        if f % 5 == 4:
+            k = rng.randrange(8, 40)
+            p[k + 1 : k + 3] = [p[k]] * 2
+        q = list(p)
+        k = rng.randrange(6, 44)
+        q[k : k + 1] = [[word()], [q[k], word()], [], [q[k], q[k]], [q[k], q[k]]][f % 5]
+        pairs.append((p, q))
+    # one sentence in all of them, so that its hashes have many classes and few are alike
+    sentence = [word() for _ in range(12)]
+    for f in range(300, 330):
+        p = [word() for _ in range(20)] + sentence + [word() for _ in range(20)]
+        q = list(p)
+        q[25] = word()
+        pairs.append((p, q))
+    around = lambda z: " ".join([word() for _ in range(50)] + z + [word() for _ in range(50)])
+    texts = [around(z) for pair in pairs for z in pair]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in passages.near_passages(docs).collect()}
+    true = [(k, k + 1) for k in range(0, len(texts), 2) if passage_truth(texts[k : k + 2])]
+    assert len(true) > 250
+    assert [(a, b) for a, b in true if not got[a] == got[b] == a] == []
+
+
 def tokens_of(t):
     """The rule by itself: character classes, then runs."""
     vowel = set(fingerprints._VOWELS)
