@@ -37,7 +37,7 @@ BROADCAST_ROWS = 1_000_000
 #: Bits of the map of hashes that may repeat (2^26: 8 MB; up to 2^29 for more of them), and of one of its pages.
 MAP_BITS, MOST_BITS, PAGE = 26, 29, 32768
 #: Classes of one hash that one task compares.
-BUCKET = 8192
+BUCKET = 1 << 16
 #: Shingles in a row that are named by one hash, and those at doubled words.
 GRAM, TWIN_GRAM = 13, 5
 _BLOCK = 1 << 18
@@ -174,11 +174,15 @@ def _need(width: int, similarity: float) -> int:
     return int(np.ceil(2 * width * similarity / (1 + similarity) - 1e-9))
 
 
+def _edits(width: int, similarity: float) -> int:
+    """Breaks that similar stretches may have."""
+    lacks = width - _need(width, similarity)
+    return lacks // 3 if _drift(width, similarity) <= 1 else lacks
+
+
 def _run(width: int, similarity: float) -> int:
     """Shingles in a row that similar stretches share at least."""
-    need = _need(width, similarity)
-    edits = (width - need) // 3 if _drift(width, similarity) <= 1 else width - need
-    return -(-need // (edits + 1))
+    return -(-_need(width, similarity) // (_edits(width, similarity) + 1))
 
 
 def _grams(x: np.ndarray, text: np.ndarray, g: int) -> tuple[np.ndarray, np.ndarray]:
@@ -336,10 +340,12 @@ class _Groups:
         return good
 
     def large(self, x: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(component, lo, hi) of the classes of one group: each is compared with all later ones of another component that can be similar.
+        """(component, lo, hi) of the classes of one group: each is compared with all of another component that can be similar.
 
-        The first is compared with all.  Where two others agree in what the first explains of them, so do they with the first: a pair that is not of its component
-        agrees somewhere in what it does not explain.  Classes that share no two neighbouring shingles of that kind with another are done.
+        One that agrees with many is compared with all first.  Where two others agree in what it explains of them, they agree with it as well: a pair of different
+        components agrees in two neighbouring shingles that it does not explain in one of them or the other, so only classes that share such shingles are compared.
+        What that argument leaves out (a run of one shingle at a break, shingles that two face at once where a word is repeated) keeps a class just
+        below the limit: all that come so near to the first are compared with every class.
         """
         m = len(x)
         comp, lo, hi = np.arange(m), np.full(m, self.width), np.full(m, -self.width)
@@ -347,27 +353,71 @@ class _Groups:
             return comp, lo, hi
 
         def join(i: int, j: np.ndarray) -> None:
-            good = j[self._compare(x, place, np.full(len(j), i), j, lo, hi)]
+            good = j[self._compare(x, place, np.minimum(i, j), np.maximum(i, j), lo, hi)]
             if len(good):
                 both = np.unique(comp[np.append(good, i)])
                 comp[np.isin(comp, both)] = both[0]
 
-        join(0, np.arange(1, m))
-        known = x == x[0]
-        for d in range(1, _drift(self.width, self.similarity) + 1):
-            known[:, d:] |= x[:, d:] == x[0, :-d]
-            known[:, :-d] |= x[:, :-d] == x[0, d:]
-        two = x[:, :-1].astype(np.uint32) << np.uint32(16) | x[:, 1:]
-        row, at = np.nonzero((~known[:, :-1] | ~known[:, 1:]) & (two != 0))
-        pairs = np.unique(two[row, at].astype(np.uint64) << np.uint64(32) | row.astype(np.uint64))
-        value = pairs >> np.uint64(32)
-        shared = np.concatenate([[False], value[1:] == value[:-1]])
-        shared |= np.append(shared[1:], False)
-        left = np.unique((pairs[shared] & np.uint64(0xFFFFFFFF)).astype(np.int64))
-        for k, i in enumerate(left[:-1].tolist()):
-            j = left[k + 1 :]
-            j = j[comp[j] != comp[i]]
-            if i and len(j):
+        some = np.arange(0, m, -(-m // 256))
+        first = int(some[(x[some, None] == x[some]).sum(axis=(1, 2)).argmax()])
+        join(first, np.delete(np.arange(m), first))
+        need, drift = _need(self.width, self.similarity), _drift(self.width, self.similarity)
+        off = np.arange(1 - self.width, self.width)
+
+        def blocks() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+            """(first row, which shingles the first explains, every two neighbouring shingles), some rows at a time."""
+            for s in range(0, m, 4096):
+                y = x[s : s + 4096]
+                known = y == x[first]
+                for d in range(1, drift + 1):
+                    known[:, d:] |= y[:, d:] == x[first, :-d]
+                    known[:, :-d] |= y[:, :-d] == x[first, d:]
+                yield s, known, y[:, :-1].astype(np.uint32) << np.uint32(16) | y[:, 1:]
+
+        near, values = np.zeros(m, bool), []
+        for s, known, two in blocks():
+            values.append(np.unique(two[(~known[:, :-1] | ~known[:, 1:]) & (two != 0)]))
+            p = place[s : s + 4096]
+            known &= (off >= -(p >> 16 & 0xFFFF)[:, None]) & (off <= (p & 0xFFFF)[:, None])
+            total = np.cumsum(known, axis=1, dtype=np.int32)
+            held = total[:, self.width - 1 :] - total[:, : self.width] + known[:, : self.width]
+            near[s : s + 4096] = held.max(axis=1) >= need - _edits(self.width, self.similarity) - 2 * drift
+        every = np.arange(m)
+        for i in np.flatnonzero(near & (comp != comp[first])).tolist():
+            j = every[comp != comp[i]]
+            if len(j):
+                join(i, j)
+        values = np.unique(np.concatenate(values))
+        if not len(values):
+            return comp, lo, hi
+        # who has each of the values, the first of its rows in ascending order; even codes: it is unexplained there
+        codes = []
+        for s, known, two in blocks():
+            k = np.minimum(np.searchsorted(values, two), len(values) - 1)
+            row, at = np.nonzero(values[k] == two)
+            codes.append(np.unique((k[row, at] * m + row + s) * 2 + (known[row, at] & known[row, at + 1])))
+        code = np.sort(np.concatenate(codes))
+        code = code[np.concatenate([[True], code[1:] >> 1 != code[:-1] >> 1])]
+        value, row, new = (code >> 1) // m, (code >> 1) % m, code & 1 == 0
+        # values within one component are done
+        edge = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+        mixed = np.minimum.reduceat(comp[row], edge) != np.maximum.reduceat(comp[row], edge)
+        size = np.diff(edge, append=len(value))
+        keep = np.repeat(mixed, size)
+        row, new, size = row[keep], new[keep], size[mixed]
+        end = np.cumsum(size)
+        of = np.repeat(np.arange(len(size)), size)[new]
+        order = np.argsort(row[new], kind="stable")
+        left, begin = np.unique(row[new][order], return_index=True)
+        waits = np.isin(np.arange(m), left)
+        for i, mine in zip(left.tolist(), np.split(of[order], begin[1:])):
+            if size[mine].sum() <= m:
+                at = np.concatenate([np.arange(z - n, z) for n, z in zip(size[mine].tolist(), end[mine].tolist())])
+                at = at[comp[row[at]] != comp[i]]
+                j = np.unique(row[at[(row[at] > i) | ~new[at]]])
+            else:
+                j = every[(comp != comp[i]) & ((every > i) | ~waits)]
+            if len(j):
                 join(i, j)
         return comp, lo, hi
 
@@ -381,15 +431,15 @@ class _Groups:
         good = self._compare(x, place, i, j, lo, hi)
         i, j = i[good], j[good]
         while len(i):
-            low = np.minimum(comp[i], comp[j])
-            np.minimum.at(comp, i, low)
-            np.minimum.at(comp, j, low)
-            comp = comp[comp]
+            a, b = comp[i], comp[j]
+            low = np.minimum(a, b)
+            np.minimum.at(comp, a, low)
+            np.minimum.at(comp, b, low)
+            # the least member of each component
+            while (up := comp[comp]).tobytes() != comp.tobytes():
+                comp = up
             open_ = comp[i] != comp[j]
             i, j = i[open_], j[open_]
-        # the least member of each component
-        while (up := comp[comp]).tobytes() != comp.tobytes():
-            comp = up
         return comp, lo, hi
 
 

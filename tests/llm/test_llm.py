@@ -478,6 +478,34 @@ def test_large_groups_find_what_all_pairs_find():
     assert comp.tolist() == all_comp.tolist() and len(set(comp.tolist())) > 20 and ((hi >= lo) == (all_hi >= all_lo)).all()
 
 
+def test_crowds_are_compared_once_and_components_are_whole(monkeypatch):
+    rng = np.random.default_rng(8)
+    w, n = 46, 600
+    base = rng.integers(1, 1 << 16, 91).astype(np.uint16)
+    x = rng.integers(1, 1 << 16, (n, 91)).astype(np.uint16)
+    for k in range(n):
+        if k % 3:
+            x[k] = base
+            if k % 3 == 2:
+                x[k, rng.integers(86) :][:5] = rng.integers(1, 1 << 16, 5)
+        else:
+            # outsiders, the first row among them: a part of the passage, and what two or three have in common
+            x[k, 30:60] = base[30:60]
+            x[k, 70:] = x[k - k % 9, 70:]
+    x[1:] = x[1 + rng.permutation(n - 1)]
+    place = np.full(n, 1 << 40 | 45 << 16 | 45)
+    g = passages._Groups(w, 0.8)
+    compared, compare = [], g._compare
+    monkeypatch.setattr(g, "_compare", lambda x, place, i, j, lo, hi: (compared.append(len(i)), compare(x, place, i, j, lo, hi))[1])
+    comp = g.large(x, place)[0]
+    assert sum(compared) < 5 * n
+    assert comp.tolist() == g.small([n], x, place)[0].tolist() and np.bincount(comp).max() == 400
+    # a label that falls in the second round only
+    links = {(0, 4), (2, 5), (4, 6), (5, 6)}
+    monkeypatch.setattr(g, "_compare", lambda x, place, i, j, lo, hi: np.array([p in links for p in zip(i.tolist(), j.tolist())]))
+    assert g.small([7], x[:7], place[:7])[0].tolist() == [0, 1, 0, 3, 0, 0, 0]
+
+
 def passage_truth(texts, words=50, similarity=0.8):
     """Pairs of texts with facing stretches of that similarity (words put in or left out move the stretches by one word at most), by brute force."""
     width = words - 4
