@@ -30,7 +30,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group connected by pairs whose five-word shingles have a Jaccard index of at least 0.8."""
+    """One document of each group connected by pairs whose five-word shingles have a Jaccard index of at least 0.8: SimHash, then a prefix filter for what it can't find."""
     return near_copies.one_of_each(docs.select(*COLUMNS))
 
 

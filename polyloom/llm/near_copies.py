@@ -1,7 +1,8 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard index of at least ``similarity``, all of them.
 
-SimHash can't find these: a pair at 0.8 differs in about ten of 64 bits, and segments of so few bits select nothing.  A prefix
-filter is exact.  In any common order of the shingles, two similar sets of up to n share one of their first n - ceil(similarity * n) + 1.
+SimHash comes first: sets whose fingerprints (the bits that over half of the shingles set) differ in at most two bits are compared, and those that are similar are linked.
+It can't find all: a pair at 0.8 differs in about ten of 64 bits, and segments of so few bits select nothing.  So what is not
+of one component then goes through a prefix filter, which is exact.  In any common order of the shingles, two similar sets of up to n share one of their first n - ceil(similarity * n) + 1.
 
 1. Equal sets are one node.  Each names its prefix; shingles that are frequent in a sample come last in the order (any order is right,
    rare shingles first keeps boilerplate out of the prefixes).
@@ -20,6 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from polyloom.llm import simhash
 from polyloom.llm.common import connected_components, cut, stored
 from polyloom.llm.passages import _P, _mix, shingle_hashes, word_hashes
 
@@ -50,28 +52,34 @@ def _set_of(text: pa.Scalar) -> np.ndarray:
     return shingle_set(np.frombuffer(raw, np.uint8)) if raw is not None and raw.size else np.empty(0, np.uint64)
 
 
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    at = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets).view(np.int64)))
+
+
 def _prefixes(similarity: float, last: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """..., text -> ..., node, n (size of the set), prefix (shingles in order; those in ``last`` come last)."""
+    """..., text -> ..., node, n (size of the set), fp (its SimHash), prefix (shingles in order; those in ``last`` come last)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i0 in range(0, batch.num_rows, 512):
                 part = batch.slice(i0, 512)
-                node, size, first = [], [], []
+                node, size, first, sets = [], [], [], []
                 for t in part.column(part.num_columns - 1):
                     x = _set_of(t)
                     n = len(x)
+                    sets.append(x)
                     node.append(xxhash.xxh3_64_intdigest(x.tobytes()))
                     size.append(n)
                     if len(last) and n:
                         late = last[np.minimum(np.searchsorted(last, x), len(last) - 1)] == x
                         x = np.concatenate([x[~late], x[late]])
                     first.append(x[: n - int(np.ceil(similarity * n - _EPS)) + 1])
-                at = np.concatenate([[0], np.cumsum([len(x) for x in first])]).astype(np.int32)
-                prefix = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(first).view(np.int64)))
+                prefix = _lists(first)
+                (marks,) = simhash.bit_majority(iter([pa.RecordBatch.from_arrays([_lists(sets)], names=["h"])]))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), prefix],
-                    names=[*part.schema.names[:-1], "node", "n", "prefix"],
+                    [*part.columns[:-1], pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), marks.column(0), prefix],
+                    names=[*part.schema.names[:-1], "node", "n", "fp", "prefix"],
                 )
 
     return run
@@ -160,8 +168,26 @@ def _verified(pairs: DataFrame, base: DataFrame, texts: DataFrame, similarity: f
     return stored(both.select("a", "b", "xa", "xb").mapInArrow(_similar(similarity), "a bigint, b bigint"), name)
 
 
+def simhash_pairs(base: DataFrame, bits: int = 2) -> DataFrame:
+    """(a, b): nodes with one SimHash fingerprint, or with two that ``simhash.links`` links; the least node stands for a fingerprint."""
+    at = base.select("fp", "node").distinct()
+    least = at.groupBy("fp").agg(F.min("node").alias("least"))
+    alike = at.join(least, "fp").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    near = simhash.links(least.select("fp"), bits)
+    near = near.join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    return alike.union(near.select(F.col("x").alias("a"), F.col("y").alias("b"))).filter("a <> b")
+
+
 def links(base: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs of nodes that between them connect all similar ones.  base: doc_id, th_, node, n, prefix; texts: doc_id, th_, text."""
+    """(a, b): pairs of nodes that between them connect all similar ones.  base: doc_id, th_, node, n, fp, prefix; texts: doc_id, th_, text."""
+    found = _verified(simhash_pairs(base), base, texts, similarity, "near-simhash-links")
+    first = cut(connected_components(found).withColumnRenamed("component", "comp"))
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """Without pairs that SimHash has connected."""
+        of = lambda k: first.select(F.col("node").alias(k), F.col("comp").alias("comp" + k))
+        return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("compa", "a") != F.coalesce("compb", "b")).select("a", "b")
+
     rows = base.select("node", "n", F.posexplode("prefix").alias("i", "key"))
     w = Window.partitionBy("key")
     met = rows.withColumn("lo", F.min("node").over(w)).withColumn("hi", F.max("node").over(w)).filter("lo <> hi")
@@ -173,7 +199,7 @@ def links(base: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     crowd = met.filter(F.col("m") > HOT)
     star = crowd.select("key", F.col("least.node").alias("nodea"), F.col("least.n").alias("na"), F.col("least.i").alias("ia"), F.col("node").alias("nodeb"), F.col("n").alias("nb"), F.col("i").alias("ib")).filter("nodea <> nodeb")
     pick = lambda df: df.filter(_may(similarity)).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"))
-    good = _verified(pick(few).union(pick(star)), base, texts, similarity, "near-links")
+    good = found.union(_verified(apart(pick(few).union(pick(star))), base, texts, similarity, "near-links"))
     if crowd.isEmpty():
         return good
     # members of a crowd that its least one did not link: all pairs of two components
@@ -199,7 +225,7 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     last = np.sort(np.array([r.x for r in often.select("x").collect()], np.int64).view(np.uint64))
     kind = docs.schema["doc_id"].dataType.simpleString()
     lean = docs.select("doc_id", th.alias("th_"), "text")
-    base = stored(lean.mapInArrow(_prefixes(similarity, last), f"doc_id {kind}, th_ bigint, node bigint, n int, prefix array<bigint>"), "near-sets")
+    base = stored(lean.mapInArrow(_prefixes(similarity, last), f"doc_id {kind}, th_ bigint, node bigint, n int, fp bigint, prefix array<bigint>"), "near-sets")
     found = connected_components(links(base, lean, similarity))
     g = base.select("doc_id", "th_", "node").join(cut(found), "node", "left").withColumn("group", F.coalesce("component", "node"))
     keep = g.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th_")).alias("r")).select(F.col("r.doc_id").alias("k_"), F.col("r.th_").alias("t_"))

@@ -36,7 +36,7 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def _bit_majority(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def bit_majority(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Last column: the hashes of a text's shingles; becomes the 64 bits that over half of them set."""
     for batch in batches:
         lists = batch.column(batch.num_columns - 1)
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, k: int = 3, id_cols: tuple[str, ...] = ("doc_i
     some = F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.xxhash64(F.concat_ws(" ", *[F.get(F.col("w"), i + j) for j in range(k)])))
     h = F.when(F.size("w") == 0, F.array().cast("array<bigint>")).when(F.size("w") <= k, F.array(F.xxhash64(F.concat_ws(" ", "w")))).otherwise(some)
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in id_cols)
-    return w.select(*id_cols, h.alias("h")).mapInArrow(_bit_majority, f"{kinds}, fp bigint")
+    return w.select(*id_cols, h.alias("h")).mapInArrow(bit_majority, f"{kinds}, fp bigint")
 
 
 def _keys(fps: DataFrame) -> DataFrame:

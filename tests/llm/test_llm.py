@@ -828,6 +828,30 @@ def test_near_copies_match_brute_force(spark, hot, sample, monkeypatch):
     assert P.drop_near_copies(spark, empty(spark), "").count() == 0
 
 
+def test_simhash_is_a_step_of_the_near_copies(spark, monkeypatch):
+    import corpus_pipeline as P
+    from polyloom.llm import near_copies
+
+    rng = random.Random(33)
+    texts = []
+    for _ in range(12):
+        w = say(rng, 400).split()
+        texts += [" ".join(w), " ".join([*w, "tail"]), " ".join([*w[:200], "else", *w[201:]])]
+    texts += [None, "", "one two"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    calls, verified = [], near_copies._verified
+
+    def noted(pairs, base, texts, similarity, name):
+        calls.append((name, {tuple(r) for r in pairs.collect()}))
+        return verified(pairs, base, texts, similarity, name)
+
+    monkeypatch.setattr(near_copies, "_verified", noted)
+    assert sorted(r.doc_id for r in P.drop_near_copies(spark, docs, "").collect()) == [*range(0, 36, 3), 36, 38]
+    # fingerprints first, and what they connect is not compared again
+    calls = dict(calls)
+    assert calls["near-simhash-links"] and not {frozenset(p) for p in calls["near-simhash-links"]} & {frozenset(p) for p in calls["near-links"]}
+
+
 def test_fingerprints_are_free_of_context(spark):
     rng = random.Random(31)
     texts = [say(rng, 170) for _ in range(8)]
