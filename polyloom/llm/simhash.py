@@ -50,7 +50,7 @@ def bit_majority(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hi = max(lo + 1, int(np.searchsorted(at, at[lo] + _BLOCK, side="right")) - 1)
             if hi == lo + 1:
                 for s in range(int(at[lo]), int(at[hi]), _BLOCK):
-                    ones[lo] += np.unpackbits(flat[s : min(s + _BLOCK, at[hi])].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0)
+                    ones[lo] += np.unpackbits(flat[s : min(s + _BLOCK, at[hi])].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
             else:
                 bits = np.unpackbits(flat[at[lo] : at[hi]].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
                 some = np.flatnonzero(n[lo:hi] > 0)

@@ -89,6 +89,15 @@ def test_simhash_matches_brute_force(spark, docs, corpus, hot, monkeypatch):
     assert simhash.groups(empty(spark)).count() == 0
 
 
+def test_a_text_alone_in_its_block(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(simhash, "_BLOCK", 4)
+    batch = pa.RecordBatch.from_arrays([pa.array([[1, 3], [1, 1], [7, 5, 5, 4, 1, 1, 1]], pa.list_(pa.int64()))], names=["h"])
+    (got,) = simhash.bit_majority(iter([batch]))
+    assert got.column(0).to_pylist() == [1, 1, 5]
+
+
 def test_simhash_links_at_one_and_two_bits(spark, monkeypatch):
     rng = random.Random(1)
     fps = {rng.getrandbits(64) for _ in range(40)}
