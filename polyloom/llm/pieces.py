@@ -9,8 +9,11 @@ the result of merging has no additive score, but it has a local test: a sequence
 merging yields exactly if each neighbouring pair is (merging the pair's characters gives the pair again).
 So each boundary keeps the one piece that fits the survivor at the piece's start.
 
-White space splits a text into stretches over which no piece reaches; there all paths meet, so the stretches'
-ids are remembered (up to a bound) and a stretch seen before is not searched again.
+White space, and a change between groups of characters that no piece joins (letters and commas, mostly), split a text into
+stretches over which no piece reaches; there all paths meet, so the stretches'
+ids are remembered (up to a bound) and a stretch seen before is not searched again.  New stretches of many
+texts are searched together, in order: what survives at a boundary depends on nothing after it, so the boundaries of
+the prefix that a stretch shares with the one before are taken over.
 """
 
 from __future__ import annotations
@@ -27,7 +30,10 @@ from pyspark.sql import DataFrame
 SPACE = "▁"
 #: Entries of either half of the memory for stretches; with both full about 150 MB a Python worker.
 CACHE_ENTRIES = 300_000
-_STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: New stretches that are searched together, at most, and the characters of text they may wait for.
+AHEAD, AHEAD_CHARS = 1 << 15, 1 << 20
+#: Groups of characters that are told apart, at most.
+GROUPS = 8
 
 
 class Vocabulary:
@@ -58,11 +64,26 @@ class Vocabulary:
         self.max_len = max(map(len, self.ids), default=1)
         self.starts = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
         self.apart = all(SPACE not in p.lstrip(SPACE) for p in self.ids)
+        self._stretch = self._pattern()
         self._fits: dict[tuple[str, str], bool] = {}
         self._new: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
-        #: id of each piece, -1 for a string that only begins pieces
-        self._table = dict.fromkeys(self.starts, -1) | self.ids
+        #: id of each piece, -1 for a string that only ends pieces
+        self._ends = dict.fromkeys((p[k:] for p in self.ids for k in range(1, len(p))), -1) | self.ids
+
+    def _pattern(self) -> re.Pattern[str]:
+        """A stretch: spaces and what follows of one group.  Without byte pieces all is one group, since neighbouring unknown characters make one id."""
+        group: dict[str, set[str]] = {}
+        for p in self.ids if self.byte_fallback and self.apart else ():
+            p = p.lstrip(SPACE)
+            for a, b in zip(p, p[1:]):
+                x, y = group.setdefault(a, {a}), group.setdefault(b, {b})
+                if x is not y:
+                    x |= y
+                    group |= dict.fromkeys(y, x)
+        largest = sorted({id(g): g for g in group.values()}.values(), key=len, reverse=True)[:GROUPS]
+        sets = ["".join(map(re.escape, sorted(g))) for g in largest]
+        return re.compile(f"{SPACE}*(?:{''.join(f'[{x}]+|' for x in sets)}[^{SPACE}{''.join(sets)}]+)|{SPACE}+")
 
     # -- merge models ----------------------------------------------------------------------------------------------
 
@@ -163,47 +184,49 @@ class Vocabulary:
             if ended:
                 return
 
-    def _short(self, text: str) -> list[str]:
-        """``search`` of a merge model for a text that fits the window at once."""
-        table, known, fits = self._table.get, self._fits.get, self.fits
-        n = len(text)
-        piece: list[str | None] = [None] * (n + 1)
-        back = [0] * (n + 1)
-        for s in range(n):
-            before = piece[s]
-            e = s + 1
-            sub = text[s]
-            k = table(sub)
-            if k is None or k < 0:
-                if piece[e] is None and (before is None or k is None or fits(before, sub)):
-                    piece[e], back[e] = sub, s
-                if k is None:
-                    continue
-            while True:
-                if k >= 0 and piece[e] is None:
-                    if before is None:
-                        good = True
-                    else:
-                        good = known((before, sub))
+    def _shorts(self, texts: list[str]) -> Iterator[list[str]]:
+        """``search`` of a merge model for texts of up to 64 characters; sorted ones share the boundaries of their common prefixes.
+
+        Each boundary looks back for the piece that ends there and fits the survivor at its start, shortest first (exactly one does).
+        """
+        ends, known, fits = self._ends.get, self._fits.get, self.fits
+        piece = [""] * 65
+        back = [0] * 65
+        last = ""
+        for text in texts:
+            n = len(text)
+            shared, most = 0, min(n, len(last))
+            while shared < most and text[shared] == last[shared]:
+                shared += 1
+            last = text
+            for e in range(shared + 1, n + 1):
+                s = e - 1
+                sub = text[s]
+                if ends(sub) is not None:
+                    while s:
+                        good = known((piece[s], sub))
                         if good is None:
-                            good = fits(before, sub)
-                    if good:
-                        piece[e], back[e] = sub, s
-                e += 1
-                if e > n:
-                    break
-                sub = text[s:e]
-                k = table(sub)
-                if k is None:
-                    break
-        run = []
-        while n:
-            run.append(piece[n])
-            n = back[n]
-        run.reverse()
-        return run
+                            good = fits(piece[s], sub)
+                        if good:
+                            break
+                        s -= 1
+                        sub = text[s:e]
+                        while ends(sub) < 0:
+                            s -= 1
+                            sub = text[s:e]
+                piece[e], back[e] = sub, s
+            run = []
+            while n:
+                run.append(piece[n])
+                n = back[n]
+            run.reverse()
+            yield run
 
     def _ids_of(self, run: list[str]) -> list[int]:
+        try:
+            return [self.ids[p] for p in run]
+        except KeyError:
+            pass
         out: list[int] = []
         for p in run:
             k = self.ids.get(p)
@@ -218,31 +241,71 @@ class Vocabulary:
     def stretch(self, text: str) -> bytes:
         """Ids (int32, little endian) of a stretch."""
         if len(text) <= 64 and self.kind == "bpe":
-            ids = self._ids_of(self._short(text))
+            ids = self._ids_of(next(self._shorts([text])))
             return struct.pack(f"<{len(ids)}i", *ids)
         return b"".join(np.array(self._ids_of(run), "<i4").tobytes() for run in self.search(iter(text)))
 
-    def encode(self, text: str) -> bytes:
-        """Ids (int32, little endian) of a text; one space is put before it, as the model expects."""
-        if not text:
-            return b""
-        text = SPACE + text.replace(" ", SPACE)
-        if not self.apart:
-            return self.stretch(text)
-        new, old = self._new, self._old
-        out = []
-        for s in _STRETCH.findall(text) if len(text) < 1 << 20 else (m.group() for m in _STRETCH.finditer(text)):
-            ids = new.get(s)
-            if ids is None:
-                ids = old.get(s)
+    def _learn(self, stretches: set[str]) -> dict[str, bytes]:
+        """Ids of new stretches of up to 64 characters; they are remembered."""
+        if self.kind == "bpe":
+            new = sorted(stretches)
+            found = {s: struct.pack(f"<{len(ids)}i", *ids) for s, ids in zip(new, map(self._ids_of, self._shorts(new)))}
+        else:
+            found = {s: self.stretch(s) for s in stretches}
+        if len(self._new) + len(found) > CACHE_ENTRIES:
+            self._old, self._new = self._new, {}
+        self._new |= found
+        return found
+
+    def _fill(self, holes: list[tuple[list, int, str]]) -> None:
+        """Put the ids of the new stretches where they are wanted."""
+        found = self._learn({s for _, _, s in holes})
+        for row, i, s in holes:
+            row[i] = found[s]
+        holes.clear()
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids (int32, little endian) of texts; one space is put before each, as the model expects."""
+        out: list[bytes] = []
+        rows: list[list] = []
+        holes: list[tuple[list, int, str]] = []
+        chars = 0
+        for text in texts:
+            rows.append(row := [])
+            if not text:
+                continue
+            chars += len(text)
+            text = SPACE + text.replace(" ", SPACE)
+            if not self.apart:
+                row.append(self.stretch(text))
+                continue
+            new, old = self._new, self._old
+            for s in self._stretch.findall(text) if len(text) < 1 << 20 else (m.group() for m in self._stretch.finditer(text)):
+                ids = new.get(s)
                 if ids is None:
-                    ids = self.stretch(s)
-                if len(s) <= 64:
-                    if len(new) >= CACHE_ENTRIES:
-                        self._old, self._new = old, new = new, {}
-                    new[s] = ids
-            out.append(ids)
-        return b"".join(out)
+                    ids = old.get(s)
+                    if ids is not None:
+                        if len(new) >= CACHE_ENTRIES:
+                            self._old, self._new = old, new = new, {}
+                        new[s] = ids
+                    elif len(s) > 64:
+                        ids = self.stretch(s)
+                    else:
+                        holes.append((row, len(row), s))
+                row.append(ids)
+                if len(holes) == AHEAD:
+                    self._fill(holes)
+                    new, old = self._new, self._old
+            if chars >= AHEAD_CHARS:
+                self._fill(holes)
+                out += map(b"".join, rows)
+                rows, chars = [], 0
+        self._fill(holes)
+        return [*out, *map(b"".join, rows)]
+
+    def encode(self, text: str) -> bytes:
+        """Ids of one text."""
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text; bytes that are no UTF-8 become U+FFFD.  The space put before it is taken away again."""
@@ -269,7 +332,7 @@ def _encoder(path: str, kind: str, n: int) -> Callable[[Iterator[pa.RecordBatch]
             texts = batch.column(n)
             for lo in range(0, len(texts), 256):
                 part = texts.slice(lo, 256).to_pylist()
-                raw = [None if t is None else v.encode(t) for t in part]
+                raw = [None if t is None else r for t, r in zip(part, v.encode_all([t or "" for t in part]))]
                 same = [None if t is None else v.decode(np.frombuffer(r, "<i4")) == t for t, r in zip(part, raw)]
                 offsets = np.cumsum([0, *[0 if r is None else len(r) // 4 for r in raw]]).astype(np.int32)
                 flat = pa.array(np.frombuffer(b"".join(r for r in raw if r), "<i4"))

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -299,6 +300,45 @@ def test_pieces_equal_the_library(vocabulary, corpus):
         assert vocabulary.decode(ids) == t
 
 
+def test_new_stretches_take_few_comparisons(monkeypatch):
+    import sentencepiece
+
+    class Counted(dict):
+        looks = 0
+
+        def get(self, key, default=None):
+            Counted.looks += 1
+            return super().get(key, default)
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice(["er", "an", "tion", "st", "nd", "ble", "he"]) for _ in range(rng.randint(1, 5)))
+    texts = [" ".join(word() + rng.choice(["", "", ",", ".\nThe", "&&&"]) for _ in range(40)) for _ in range(100)]
+    v = pieces.Vocabulary(PIECES)
+    v._fits = Counted()
+    monkeypatch.setattr(pieces, "_loaded", {(PIECES, "bpe"): v})
+    (batch,) = pieces._encoder(PIECES, "bpe", 0)(iter([pa.RecordBatch.from_pydict({"text": texts})]))
+    assert batch.to_pydict() == {"ids": [sp.encode(t) for t in texts], "exact": [True] * 100}
+    assert Counted.looks < 22_000
+
+
+def test_batches_and_groups_of_characters(monkeypatch):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = random.Random(7)
+    bits = ["the", "The", "anti", " ", "  ", "\n", ".", ",,", "&&", "é", "日本", "12", "\U0001f600", "\u0301", "x" * 70, "'s", "-", "_", "Ж"]
+    texts = ["", *["".join(rng.choice(bits) for _ in range(rng.randint(0, 80))) for _ in range(400)], ""]
+    for ahead, chars, entries in ((1 << 15, 1 << 20, 300_000), (3, 1 << 20, 50), (1 << 15, 200, 20)):
+        for name, value in (("AHEAD", ahead), ("AHEAD_CHARS", chars), ("CACHE_ENTRIES", entries)):
+            monkeypatch.setattr(pieces, name, value)
+        v = pieces.Vocabulary(PIECES)
+        assert [np.frombuffer(r, "<i4").tolist() for r in v.encode_all(texts)] == [sp.encode(t) for t in texts]
+    assert v._stretch.findall("▁the,▁▁a") == ["▁the", ",", "▁▁a"]
+    v.byte_fallback = False
+    assert v._pattern().findall("▁the,▁▁a") == ["▁the,", "▁▁a"]
+
+
 def test_search_window_stays_bounded(vocabulary):
     runs = list(vocabulary.search(iter("abc" * 20_000)))
     assert "".join(p for r in runs for p in r) == "abc" * 20_000
