@@ -80,6 +80,11 @@ def _keys(fps: DataFrame) -> DataFrame:
     return fps.select("fp", F.explode(F.transform(F.sequence(F.lit(0), F.lit(63)), key)).alias("key"))
 
 
+def _gathered(df: DataFrame, by: str, name: str) -> DataFrame:
+    """``stored`` in files of AQE's advisory size: a few rows come of many tasks, and each file that a task writes costs its executor several processes (chmod, on local folders)."""
+    return stored(df.hint("rebalance", by), name)
+
+
 def links(fps: DataFrame, bits: int = 2) -> DataFrame:
     """(a, b): pairs of distinct fingerprints (column ``fp``) that between them connect all that differ in <= ``bits`` (1 or 2)."""
     if bits not in (1, 2):
@@ -87,12 +92,12 @@ def links(fps: DataFrame, bits: int = 2) -> DataFrame:
     # 64 rows come of each: spread them whatever the size of the fingerprints alone (by another key than theirs, or the exchange before would do)
     keys = _keys(fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp")))
     met = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
-    met = stored(met, "simhash-keys")
+    met = _gathered(met, "key", "simhash-keys")
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits
     two = met.filter("n = 2").select("a", "b").filter(near("a", "b"))
     more = met.filter("n > 2").select("key", "n")
     # two bigints a row: up to BROADCAST_ROWS of them may be broadcast, more are joined by a shuffle
-    members = stored(keys.join(F.broadcast(more) if more.count() <= BROADCAST_ROWS else more, "key"), "simhash-members")
+    members = _gathered(keys.join(F.broadcast(more) if more.count() <= BROADCAST_ROWS else more, "key"), "fp", "simhash-members")
     few = members.filter(F.col("n") <= HOT)
     pairs = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").filter("a < b").select("a", "b").filter(near("a", "b"))
     crowd = members.filter(F.col("n") > HOT).select("fp").distinct()
@@ -113,7 +118,7 @@ def groups(docs: DataFrame, k: int = 3, bits: int = 2, id_cols: tuple[str, ...]
     Null or empty texts have fingerprint 0 and link like any other.  Rows may repeat: nodes are fingerprints,
     so rows with one id and different texts are judged each by its own.  Other columns are ignored.
     """
-    base = stored(fingerprints(docs, k, id_cols), "simhash")
+    base = _gathered(fingerprints(docs, k, id_cols), "fp", "simhash")
     fps = base.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = connected_components(links(base.select("fp").distinct(), bits))
     named = found.join(fps, found.node == fps.fp)

@@ -121,6 +121,29 @@ def test_simhash_links_at_one_and_two_bits(spark, monkeypatch):
         simhash.links(spark.createDataFrame(signed, "fp long"), 3)
 
 
+def test_simhash_writes_few_files(spark, monkeypatch):
+    rng = random.Random(2)
+    texts = [say(rng, 4) for _ in range(3000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:50])], "doc_id long, text string").repartition(16)
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    files, stored = {}, simhash.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128k")
+        assert simhash.groups(docs).count() == 3050
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+    assert files.keys() == {"simhash", "simhash-keys", "simhash-members"} and max(files.values()) <= 4
+
+
 @pytest.mark.parametrize("hot, chunk", [(20_000, 1 << 19), (0, 700)])
 def test_repeated_bytes_match_brute_force(spark, docs, corpus, hot, chunk, monkeypatch):
     monkeypatch.setattr(substring_exact, "HOT_KINDS", hot)
