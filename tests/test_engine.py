@@ -281,3 +281,37 @@ def test_long_paths_have_their_distances(spark):
     assert graph.distances(edges, 2).agg(F.max("depth")).first()[0] == 2
     d = graph.distances(edges, sources=spark.createDataFrame([(0,)], "id long"))
     assert d.agg(F.max("depth")).first()[0] == 12
+
+
+def _counted(spark, pairs):
+    """Edges (src, dst), and how often each row was computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def rows(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return spark.createDataFrame(pairs, "src long, dst long").mapInArrow(rows, "src long, dst long"), lambda: seen.value / len(pairs)
+
+
+_GRAPH = [(i, (i * i + j) % 40) for i in range(40) for j in range(1 + i % 4)] + [(100, 101), (101, 101)]
+
+
+def _coreness(pairs):
+    near = {v: {a + b - v for a, b in pairs if v in (a, b)} - {v} for p in pairs for v in p}
+    out, k = {}, 0
+    while near:
+        v = min(near, key=lambda x: len(near[x]))
+        k = max(k, len(near[v]))
+        out[v] = k
+        for w in near.pop(v):
+            near[w].discard(v)
+    return out
+
+
+def test_kcore_computes_edges_once(spark, monkeypatch):
+    monkeypatch.setattr(graph, "CHUNK", 3, raising=False)
+    edges, times = _counted(spark, _GRAPH)
+    assert {r.node_id: r.coreness for r in graph.kcore(edges).collect()} == _coreness(_GRAPH)
+    assert times() == 1
