@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH = 6_371_000.0
+#: Rows of one side in a block of ``dwithin_join``, about, and its tasks at most.
+SIDE, TASKS = 4096, 20_000
 _BASE32 = "0123456789bcdefghjkmnpqrstuvwxyz"
 
 
@@ -437,7 +439,8 @@ def dwithin_join(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
     """Pairs of points (lng, lat; columns of the right side end in _r) within ``metres``.
 
     Cells at least ``metres`` high and wide: each right point goes to its cell and the cells around it, so the join is on equal cells.  The
-    width follows the latitude band, and longitudes wrap at the date line.
+    width follows the latitude band, and longitudes wrap at the date line.  A cell with many points is cut into blocks of ``SIDE`` by
+    ``SIDE`` rows, each compared by one task, and tasks are as many as there are pairs for, so none grows with the input.
     """
     step = math.degrees(metres / EARTH) * 1.0001
     bands = math.ceil(180 / step)
@@ -450,5 +453,15 @@ def dwithin_join(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
     r = right.select(*[F.col(c).alias(f"{c}_r") for c in right.columns])
     r = r.withColumn("b_", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: band(F.col("lat_r")) + d))).filter((F.col("b_") >= 0) & (F.col("b_") <= bands))
     r = r.withColumn("c_", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: F.pmod(cell(F.col("lng_r"), F.col("b_")) + d, across(F.col("b_")))))))
-    near = haversine(F.col("lng"), F.col("lat"), F.col("lng_r"), F.col("lat_r")) <= metres
-    return a.join(r, ["b_", "c_"]).filter(near).drop("b_", "c_")
+    cells = a.groupBy("b_", "c_").agg(F.count("*").alias("n_")).join(r.groupBy("b_", "c_").agg(F.count("*").alias("m_")), ["b_", "c_"])
+    pairs = cells.agg(F.sum(F.col("n_").cast("double") * F.col("m_"))).first()[0] or 0.0
+    tasks = max(1, min(TASKS, math.ceil(pairs / SIDE**2)))
+    cells = cells.select("b_", "c_", F.ceil(F.col("n_") / SIDE).alias("p_"), F.ceil(F.col("m_") / SIDE).alias("q_"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    part = lambda df, n: F.pmod(F.xxhash64(*df.columns), F.col(n))
+    keys = ["b_", "c_", "i_", "j_"]
+    a = a.join(cells, ["b_", "c_"]).withColumn("i_", part(a, "p_")).withColumn("j_", every("q_")).drop("p_", "q_").repartition(tasks, *keys)
+    r = r.join(cells, ["b_", "c_"]).withColumn("j_", part(r, "q_")).withColumn("i_", every("p_")).drop("p_", "q_").repartition(tasks, *keys)
+    # the difference in latitude first: it is cheap and leaves out half
+    near = (F.abs(F.col("lat") - F.col("lat_r")) <= step) & (haversine(F.col("lng"), F.col("lat"), F.col("lng_r"), F.col("lat_r")) <= metres)
+    return a.join(r.hint("shuffle_hash"), keys).filter(near).drop(*keys)

@@ -315,3 +315,14 @@ def test_kcore_computes_edges_once(spark, monkeypatch):
     edges, times = _counted(spark, _GRAPH)
     assert {r.node_id: r.coreness for r in graph.kcore(edges).collect()} == _coreness(_GRAPH)
     assert times() == 1
+
+
+def test_dwithin_join_of_crowded_points(spark, monkeypatch):
+    monkeypatch.setattr(geo, "SIDE", 16, raising=False)
+    a = spark.range(600).selectExpr("id", "10.0D + id % 3 AS lng", "50.0D AS lat")
+    b = spark.range(200).selectExpr("id AS sid", "10.0D + id % 2 AS lng", "50.1D AS lat")
+    got = geo.dwithin_join(a, b, 20_000)
+    assert got.agg(F.count("*"), F.countDistinct("id", "sid_r")).first() == (40_000, 40_000)
+    # one place has 200 x 100 pairs: they are spread over tasks
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 8000
