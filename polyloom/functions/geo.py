@@ -459,9 +459,10 @@ def dwithin_join(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
     cells = cells.select("b_", "c_", F.ceil(F.col("n_") / SIDE).alias("p_"), F.ceil(F.col("m_") / SIDE).alias("q_"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     part = lambda df, n: F.pmod(F.xxhash64(*df.columns), F.col(n))
-    keys = ["b_", "c_", "i_", "j_"]
-    a = a.join(cells, ["b_", "c_"]).withColumn("i_", part(a, "p_")).withColumn("j_", every("q_")).drop("p_", "q_").repartition(tasks, *keys)
-    r = r.join(cells, ["b_", "c_"]).withColumn("j_", part(r, "q_")).withColumn("i_", every("p_")).drop("p_", "q_").repartition(tasks, *keys)
+    # one key, since Spark drops those of several that are constant and would then exchange both sides again
+    block = lambda df: df.withColumn("k_", F.concat_ws(" ", "b_", "c_", "i_", "j_")).drop("b_", "c_", "i_", "j_", "p_", "q_").repartition(tasks, "k_")
+    a = block(a.join(cells, ["b_", "c_"]).withColumn("i_", part(a, "p_")).withColumn("j_", every("q_")))
+    r = block(r.join(cells, ["b_", "c_"]).withColumn("j_", part(r, "q_")).withColumn("i_", every("p_")))
     # the difference in latitude first: it is cheap and leaves out half
     near = (F.abs(F.col("lat") - F.col("lat_r")) <= step) & (haversine(F.col("lng"), F.col("lat"), F.col("lng_r"), F.col("lat_r")) <= metres)
-    return a.join(r.hint("shuffle_hash"), keys).filter(near).drop(*keys)
+    return a.join(r.hint("shuffle_hash"), "k_").filter(near).drop("k_")
