@@ -326,3 +326,32 @@ def test_dwithin_join_of_crowded_points(spark, monkeypatch):
     # one place has 200 x 100 pairs: they are spread over tasks
     sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
     assert max(sizes) < 8000
+
+
+def test_generators_make_a_batch_at_once(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(scalar.secrets, "token_bytes", lambda n, real=scalar.secrets.token_bytes: calls.append(n) or real(n))
+    makers = {}
+    monkeypatch.setattr(scalar, "_generator", lambda make: makers.setdefault(len(makers), make))
+    scalar.uuid_v7(), scalar.ulid(), scalar.cuid2(), scalar.nanoid()
+    for make, size, letters in zip(makers.values(), (36, 26, 24, 21), ("0123456789abcdef-", scalar._BASE32, "abcdefghijklmnopqrstuvwxyz0123456789", None)):
+        ids = make(5000)
+        assert len(set(ids)) == 5000 and {len(i) for i in ids} == {size}
+        assert letters is None or set("".join(ids)) == set(letters)
+        assert make(0) == []
+    assert len(calls) < 100
+    monkeypatch.undo()
+    d = spark.range(300).select(scalar.ulid().alias("u"), scalar.uuid_v7().alias("v"))
+    assert d.filter(scalar.is_ulid(F.col("u")) & (scalar.uuid_version(F.col("v")) == 7)).count() == 300
+    import time
+
+    assert abs(d.select(scalar.ulid_timestamp(F.col("u"))).first()[0] / 1000 - time.time()) < 600
+
+
+def test_standard_tokens_in_one_pass_a_step(spark):
+    words = "classes ponies cats running hopped élans Ärgers grass bees it".split()
+    d = spark.createDataFrame([(" ".join(words),), (None,), ("plain stopped",)], "t string").select(text.standard_tokens(F.col("t")).alias("x"))
+    assert [r.x for r in d.collect()] == [["class", "poni", "cat", "run", "hop", "elan", "arger", "grass", "bee"], [], ["plain", "stop"]]
+    # each step names its pattern once; nested they came to 31 replacements
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == len(text._STEMS)
+    assert [r[0] for r in spark.createDataFrame([("hopping",), (None,)], "t string").select(text.stem(F.col("t"))).collect()] == ["hop", None]
