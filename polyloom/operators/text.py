@@ -15,14 +15,22 @@ _STEMS = ((r"(ss)es$", "$1"), (r"ies$", "i"), (r"([^s])s$", "$1"), (r"([aeiouy].
 K1, B = 1.2, 0.75
 
 
+def _unmarked(text: str) -> str:
+    parts = unicodedata.normalize("NFD", text)
+    marks = {ord(c): None for c in set(parts) if unicodedata.combining(c)}
+    return (parts.translate(marks) if marks else parts).lower()
+
+
 def fold(text: Column) -> Column:
     """Lower case without combining marks (letters keep together)."""
 
     @F.pandas_udf("string")
     def strip(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c)).lower())
+        return s.map(lambda t: None if t is None else _unmarked(t))
 
-    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(strip(text))
+    # a Python function gets all rows whatever the branch, so ASCII texts are null to it
+    ascii_ = F.octet_length(text) == F.char_length(text)
+    return F.when(ascii_, F.lower(text)).otherwise(strip(F.when(~ascii_, text)))
 
 
 def simple_tokens(text: Column) -> Column:
@@ -32,17 +40,25 @@ def simple_tokens(text: Column) -> Column:
 
 def stem(token: Column) -> Column:
     """A light English stemmer: plural and participle endings."""
-    out = token
+    return _stems(F.array(token))[0]
+
+
+def _stems(tokens: Column) -> Column:
+    """One pass over the array a step: nested in one expression, each step would evaluate the one before it three times."""
+
+    def step(pattern: str, to: str):
+        return lambda w: F.when(F.char_length(w) > 3, F.regexp_replace(w, pattern, to)).otherwise(w)
+
     for pattern, to in _STEMS:
-        out = F.when(F.char_length(out) > 3, F.regexp_replace(out, pattern, to)).otherwise(out)
-    return out
+        tokens = F.transform(tokens, step(pattern, to))
+    return tokens
 
 
 def standard_tokens(text: Column) -> Column:
     """Folded, split on what is no letter, digit, - or _, without short tokens and stop words, stemmed."""
     words = F.split(fold(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_-]+")
     kept = F.filter(words, lambda w: (F.octet_length(w) > 1) & ~w.isin(*STOP))
-    return F.transform(kept, stem)
+    return _stems(kept)
 
 
 def keyword_tokens(text: Column) -> Column:
