@@ -355,3 +355,25 @@ def test_standard_tokens_in_one_pass_a_step(spark):
     # each step names its pattern once; nested they came to 31 replacements
     assert d._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == len(text._STEMS)
     assert [r[0] for r in spark.createDataFrame([("hopping",), (None,)], "t string").select(text.stem(F.col("t"))).collect()] == ["hop", None]
+
+
+def test_rounds_compute_edges_once(spark, monkeypatch):
+    monkeypatch.setattr(graph, "CHUNK", 3, raising=False)
+    ids = sorted({v for p in _GRAPH for v in p})
+    edges, times = _counted(spark, _GRAPH)
+    low = {v: v for v in ids}
+    for _ in ids:
+        for a, b in _GRAPH:
+            low[a] = low[b] = min(low[a], low[b])
+    assert {r.node_id: r.component_id for r in graph.components(edges).collect()} == low
+    assert times() == 1
+    edges, times = _counted(spark, _GRAPH)
+    rank, out = {v: 1 / len(ids) for v in ids}, {v: [b for a, b in _GRAPH if a == v] for v in ids}
+    for _ in range(2):
+        loose = sum(rank[v] for v in ids if not out[v])
+        rank = {v: (0.15 + 0.85 * loose) / len(ids) + 0.85 * sum(rank[u] * out[u].count(v) / len(out[u]) for u in ids if out[u]) for v in ids}
+    assert {r.node_id: r["rank"] for r in graph.pagerank(edges, iterations=2, tolerance=0).collect()} == pytest.approx(rank)
+    assert times() == 1
+    edges, times = _counted(spark, _GRAPH)
+    assert {r.id: r.depth for r in graph.bfs(edges, [100], 3, "both").collect()} == {100: 0, 101: 1}
+    assert times() == 1
